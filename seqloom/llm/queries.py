@@ -6,15 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm import labels, quality, toxicity
 from seqloom.llm.bpe import byte_bpe
 from seqloom.llm.common import table
 from seqloom.llm.fst import token_counts
 from seqloom.llm.idfiles import packed_ids
+from seqloom.llm.shards import pack_shards
+from seqloom.llm.simhash import near_duplicates
 
 #: The end id that the id files put after each document.
 END_ID = 2
 #: More tokens than this are over the context limit.
 TOKEN_LIMIT = 2048
+SHARDS = 40
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +38,56 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put all documents into shards of near equal bytes, equal texts together."""
+    put = pack_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return put.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' ids to bit-packed files and read them back."""
     return packed_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def _judged(scored: DataFrame, fold: int, held: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (labels.remainder("doc_id", fold) == held).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> tuple:
+    """Trained on rows whose crc32(doc_id) mod 3 is not 1."""
+    docs, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.train(labels.sample(docs, known, "quality", labels.remainder("doc_id", 3) != 1))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> tuple:
+    """Trained on rows whose crc32(doc_id) mod 5 is not 0."""
+    docs, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.train(labels.sample(docs, known, "toxic", labels.remainder("doc_id", 5) != 0))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for quality."""
+    return _judged(quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir), ["doc_id"]), 3, 1)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for toxicity."""
+    return _judged(toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), ["doc_id"]), 5, 0)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by fingerprints of 3-word shingles."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and which are over the limit."""
     counted = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), key=["doc_id"])
@@ -47,8 +96,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_pack_shards": op3_pack_shards,
     "op4_packed_ids": op4_packed_ids,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
+    "op8_simhash": op8_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: SQL for DuckDB, where it can express the operator.
