@@ -11,6 +11,7 @@ from seqloom.llm.bpe import byte_bpe
 from seqloom.llm.common import table
 from seqloom.llm.fst import token_counts
 from seqloom.llm.idfiles import packed_ids
+from seqloom.llm.ppm import score_texts
 from seqloom.llm.shards import pack_shards
 from seqloom.llm.simhash import near_duplicates
 
@@ -82,6 +83,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), ["doc_id"]), 5, 0)
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by a model of the rows whose crc32(doc_id) mod 5 is not 1."""
+    held = labels.remainder("doc_id", 5) == 1
+    scored = score_texts(table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents by fingerprints of 3-word shingles."""
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3)
@@ -98,6 +106,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_pack_shards": op3_pack_shards,
     "op4_packed_ids": op4_packed_ids,
+    "op5_ppm": op5_ppm,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
