@@ -14,12 +14,14 @@ from seqloom.llm.idfiles import packed_ids
 from seqloom.llm.ppm import score_texts
 from seqloom.llm.shards import pack_shards
 from seqloom.llm.simhash import near_duplicates
+from seqloom.llm.vectors import near_vectors
 
 #: The end id that the id files put after each document.
 END_ID = 2
 #: More tokens than this are over the context limit.
 TOKEN_LIMIT = 2048
 SHARDS = 40
+COSINE = 0.93
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +98,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings of a label."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), COSINE)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and which are over the limit."""
     counted = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), key=["doc_id"])
@@ -110,6 +117,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
+    "op9_vectors": op9_vectors,
     "op10_toxicity": op10_toxicity,
 }
 
