@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seqloom.llm import labels, quality, toxicity
 from seqloom.llm.bpe import byte_bpe
 from seqloom.llm.common import table
+from seqloom.llm.decontaminate import leaks
 from seqloom.llm.fst import token_counts
 from seqloom.llm.idfiles import packed_ids
 from seqloom.llm.ppm import score_texts
@@ -41,6 +42,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak: one row a document and item."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Put all documents into shards of near equal bytes, equal texts together."""
     put = pack_shards(table(spark, sf_dir, "documents"), SHARDS)
@@ -111,6 +117,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_decontaminate": op2_decontaminate,
     "op3_pack_shards": op3_pack_shards,
     "op4_packed_ids": op4_packed_ids,
     "op5_ppm": op5_ppm,
