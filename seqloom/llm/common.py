@@ -84,3 +84,16 @@ def map_text(
             )
 
     return out.mapInArrow(run, StructType(fields))
+
+
+def filter_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+    """The rows whose texts ``make()`` (once a task) keeps; null texts count as empty. All columns pass through."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for b in slices(batches):
+            texts = b.column(at).cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array(keep([t or b"" for t in texts]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from seqloom.llm.chunks import ChunkMemo, Ragged, sums
-from seqloom.llm.common import map_text
+from seqloom.llm.common import filter_text, map_text
 
 BUCKETS = 1 << 18
 SCALE = 20.0
@@ -157,15 +157,36 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray
 _LAST: dict = {}
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], key: list[str], text: str = "text", out: str = "score") -> DataFrame:
-    """``key`` columns and the probability of label 1."""
+def _loaded(docs: DataFrame, model: tuple):
+    """A function that gives a task its featuriser and the bias."""
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # BUCKETS weights
 
-    def make():
+    def load():
         if name not in _LAST:  # kept between a worker's tasks
             _LAST.clear()
             _LAST[name] = Features(shared.value[0])
-        features, bias = _LAST[name], shared.value[1]
+        return _LAST[name], shared.value[1]
+
+    return load
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], key: list[str], text: str = "text", out: str = "score") -> DataFrame:
+    """``key`` columns and the probability of label 1."""
+    load = _loaded(docs, model)
+
+    def make():
+        features, bias = load()
         return lambda texts: [pa.array(1 / (1 + np.exp(-np.clip(features.dots(texts) + bias, -35, 35))))]
 
     return map_text(docs, key, text, f"{out} double", make, as_bytes=True)
+
+
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
+    """The documents that score 0.5 or more, with all their columns."""
+    load = _loaded(docs, model)
+
+    def make():
+        features, bias = load()
+        return lambda texts: features.dots(texts) + bias >= 0
+
+    return filter_text(docs, text, make)

@@ -92,15 +92,18 @@ def fingerprints(docs: DataFrame, key: list[str], text: str = "text", width: int
 def _emitted(df: DataFrame, make, schema: str) -> DataFrame:
     def run(batches):
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fps), 64):
-                yield make(fps[at : at + 64])
+            view, fps = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for v in np.unique(view):
+                own = fps[view == v]
+                for at in range(0, len(own), 256):
+                    out = make(own[at : at + 256])
+                    yield out.add_column(0, "view", pa.array(np.full(out.num_rows, v), pa.int8()))
 
-    return df.select("fp").mapInArrow(run, schema)
+    return df.select("view", "fp").mapInArrow(run, f"view byte, {schema}")
 
 
 def _halves(fps: np.ndarray) -> pa.RecordBatch:
-    """(which half, variant, fingerprint) rows of the first pass."""
+    """(which half and variant, fingerprint) rows of the first pass."""
     rows = []
     flips = np.uint64(1) << np.arange(HALF, dtype=np.uint64)
     for side in (0, 1):
@@ -112,6 +115,29 @@ def _halves(fps: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"variant": variant, "fp": np.concatenate([f for *_, f in rows]).view(np.int64)})
 
 
+def _shared(batches):
+    """Of rows sorted by view and variant, the fingerprints that share one with another."""
+    before = None  # the last row, and whether it has been passed on
+    for b in batches:
+        if not b.num_rows:
+            continue
+        view, variant, fp = (c.to_numpy() for c in b.columns)
+        same = np.zeros(len(fp), bool)
+        same[1:] = (view[1:] == view[:-1]) & (variant[1:] == variant[:-1])
+        out = same.copy()
+        out[:-1] |= same[1:]
+        extra = None
+        if before is not None and before[0] == view[0] and before[1] == variant[0]:
+            out[0] = True
+            extra = before if not before[3] else None
+        before = (view[-1], variant[-1], fp[-1], bool(out[-1]))
+        v, f = view[out], fp[out]
+        if extra is not None:
+            v, f = np.append(v, extra[0]), np.append(f, extra[2])
+        pairs = pa.Table.from_arrays([pa.array(v, pa.int8()), pa.array(f)], ["view", "fp"]).group_by(["view", "fp"]).aggregate([])
+        yield from pairs.to_batches()
+
+
 def _ball(fps: np.ndarray) -> pa.RecordBatch:
     """(variant, flipped bits, fingerprint) rows."""
     ones = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
@@ -129,24 +155,27 @@ def _ball(fps: np.ndarray) -> pa.RecordBatch:
 
 
 def near_links(fps: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints within the radius, enough to connect all that are linked."""
+    """Links ``(view, a, b)`` between distinct fingerprints ``(view, fp)`` of a view within the radius.
+
+    They connect all that are linked, without being all links.
+    """
     halves = _emitted(fps, _halves, "variant long, fp long")
-    shared = halves.groupBy("variant").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("variant")
-    near = stored(halves.join(shared, "variant", "left_semi").select("fp").distinct(), "simhash-near")
-    balls = _emitted(near.repartition("fp"), _ball, "variant long, bits byte, fp long")
+    halves = halves.repartition("view", "variant").sortWithinPartitions("view", "variant")
+    near = stored(halves.mapInArrow(_shared, "view byte, fp long").distinct(), "simhash-near")
+    balls = _emitted(near.repartition("view", "fp"), _ball, "variant long, bits byte, fp long")
     met = (
-        balls.groupBy("variant")
+        balls.groupBy("view", "variant")
         .agg(F.min(F.struct("bits", "fp")).alias("best"), F.collect_list("fp").alias("members"))  # at most 2,081
         .where("size(members) > 1 and best.bits <= 1")
     )
-    return met.select(F.col("best.fp").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
+    return met.select("view", F.col("best.fp").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """``key``, ``fp`` and ``component_id``: the least key reachable over links of at most ``RADIUS`` bits."""
     marked = stored(fingerprints(docs, [key], text, width), "simhash-fp")
     classes = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    parts = connected_components(near_links(classes.select("fp")))
+    parts = connected_components(near_links(classes.select(F.lit(0).cast("byte").alias("view"), "fp")))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("component", "fp"))
     least = named.where("component is not null").groupBy("part").agg(F.min("least").alias("component_id"))
     ids = named.join(least, "part", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))

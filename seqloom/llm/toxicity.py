@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from seqloom.llm.chunks import ChunkMemo, Ragged, sums
-from seqloom.llm.common import map_text
+from seqloom.llm.common import filter_text, map_text
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -198,15 +198,36 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray
 _LAST: dict = {}
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float, float], key: list[str], text: str = "text", out: str = "score") -> DataFrame:
-    """``key`` columns and the probability of label 1."""
+def _loaded(docs: DataFrame, model: tuple):
+    """A function that gives a task its words, and the calibration."""
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # BUCKETS numbers
 
-    def make():
-        if name not in _LAST:
+    def load():
+        if name not in _LAST:  # kept between a worker's tasks
             _LAST.clear()
             _LAST[name] = Words(shared.value[0])
-        words, (_, slope, intercept) = _LAST[name], shared.value
+        return (_LAST[name], *shared.value[1:])
+
+    return load
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float, float], key: list[str], text: str = "text", out: str = "score") -> DataFrame:
+    """``key`` columns and the probability of label 1."""
+    load = _loaded(docs, model)
+
+    def make():
+        words, slope, intercept = load()
         return lambda texts: [pa.array(1 / (1 + np.exp(-np.clip(slope * words.highest(texts) + intercept, -35, 35))))]
 
     return map_text(docs, key, text, f"{out} double", make, as_bytes=True)
+
+
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float, float], text: str = "text") -> DataFrame:
+    """The documents that score below 0.5, with all their columns."""
+    load = _loaded(docs, model)
+
+    def make():
+        words, slope, intercept = load()
+        return lambda texts: slope * words.highest(texts) + intercept < 0
+
+    return filter_text(docs, text, make)
