@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from seqloom.plans import basics
+
+QUERIES: dict = dict(basics.QUERIES)
+ORACLE_SQL: dict = dict(basics.ORACLE_SQL)
