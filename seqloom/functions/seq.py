@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 # Every letter's base, '.' as A; complements; digits in canonical order.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ."
@@ -88,13 +89,13 @@ def _lcs(a: str, b: str) -> np.ndarray:
     return t
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """Alignment score: 1 a match, 0 a mismatch or gap. Null if either is."""
     return pd.Series([None if x is None or y is None else int(_lcs(x, y)[-1, -1]) for x, y in zip(a, b)], dtype="Int32")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def lcs_trace(a: pd.Series, b: pd.Series) -> pd.Series:
     """For each letter of a, the place in b (from 0) that it aligns to; -1 for a gap."""
     out = []

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once into the shared checkpoint folder: cuts lineage, survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
@@ -31,7 +32,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     links with a null end are ignored. An empty table gives an empty result. Nodes
     may be of any ordered type.
     """
-    edges = _checkpoint(
+    edges = cut(
         links.where(f"`{a}` <> `{b}`").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     )
 
@@ -51,7 +52,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         # Small star: u and its smaller neighbours are linked to the least of them.
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = _checkpoint(small.unionByName(low.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct())
+        edges = cut(small.unionByName(low.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct())
         now = fingerprint(edges)
         if now == seen:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.components import _checkpoint
+from seqloom.operators.components import cut
 
 
 def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
@@ -13,7 +13,7 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> Data
 
     Rows are range-partitioned; each partition is numbered apart, after the counts of those before it.
     """
-    parts = _checkpoint(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    parts = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = parts.groupBy("__part").count()  # one row a partition
     offsets = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))

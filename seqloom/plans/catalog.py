@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import basics
+from seqloom.plans import assembly, basics
 
-QUERIES: dict = dict(basics.QUERIES)
-ORACLE_SQL: dict = dict(basics.ORACLE_SQL)
+QUERIES: dict = basics.QUERIES | assembly.QUERIES
+ORACLE_SQL: dict = basics.ORACLE_SQL | assembly.ORACLE_SQL
