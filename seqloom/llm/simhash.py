@@ -4,26 +4,25 @@ The fingerprint of a text has a bit for each of 64 places that is set in over ha
 its word shingles' XXH64 hashes. Two fingerprints link at ``RADIUS`` = 3 or fewer
 differing bits; documents that share a fingerprint are one node.
 
-Ball hashing. Every fingerprint emits the variants within half the radius, i.e. 1 or 2
-flipped bits, and is shuffled on them, so that linked fingerprints meet on a variant
-between them. Which of the two goes 2 bits is settled by parity, since fingerprints of
-odd distance differ in parity:
+Ball hashing. A fingerprint emits the variants within half the radius and is shuffled on
+them, so that linked fingerprints meet on a variant between them. It runs on halves first:
+fingerprints at distance 3 or less differ in at most one bit in one 32-bit half. As a
+single bit changes a half's parity, even halves emit themselves, odd ones themselves and
+their 32 one-bit variants. Fingerprints that meet are verified pair by pair in buckets of
+up to ``BUCKET``. Those in larger buckets (a group of very many near copies) emit variants of
+all 64 bits, where no pairs are needed:
 
 * odd fingerprints emit their 64 one-bit variants;
 * even ones emit themselves, their one-bit variants, and the two-bit variants whose
-  bits lie in the same 32-bit half.
+  bits lie in the same half.
 
 Distance 1: the odd one's variant is the even one. Distance 2, both odd, or both even
 with bits in different halves: one bit from each; both even in one half: one is the
 other's two-bit variant. Distance 3: two of the three bits share a half, the even
 one flips these, the odd one the third. On a variant, any member at most one bit away
 is within three bits of every member, so linking all to one such member loses no
-connection and needs no pair of the rest; a variant where all are two away links
-nothing. A ball holds at most 2,081 fingerprints, however many documents there are.
-
-Most fingerprints have no neighbour, so a first pass on halves keeps those that may:
-fingerprints at distance 3 or less differ in at most one bit in one half. By parity of
-that half, even halves emit themselves, odd ones themselves and their 32 variants.
+connection; a variant where all are two away links nothing. A ball holds at most 2,081
+fingerprints, however many documents there are.
 
 Definitions for odd input: null and blank texts have no words and fingerprint zero,
 which links as any other does. Fewer words than a shingle: the whole sequence is the
@@ -49,6 +48,8 @@ RADIUS = 3
 BITS = 64
 HALF = 32
 SEED = 42
+#: Fingerprints in a bucket whose pairs are all verified; more are met in the whole ball.
+BUCKET = 64
 #: Shingles hashed and counted at a time, so that a very long text needs bounded memory.
 PART = 1 << 16
 
@@ -115,27 +116,55 @@ def _halves(fps: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"variant": variant, "fp": np.concatenate([f for *_, f in rows]).view(np.int64)})
 
 
-def _shared(batches):
-    """Of rows sorted by view and variant, the fingerprints that share one with another."""
-    before = None  # the last row, and whether it has been passed on
+def _met(batches):
+    """Of rows sorted by view and variant: linked pairs of fingerprints that share one.
+
+    All pairs of up to ``BUCKET`` fingerprints are verified here; those of larger buckets come
+    out alone, to be met in the whole ball.
+    """
+    held, large = np.empty((3, 0), np.int64), None  # the last bucket so far, or its key once it is large
+
+    def found(rows: np.ndarray):
+        key = np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))) if rows.shape[1] else np.empty(0, bool)
+        bucket = np.cumsum(key) - 1
+        sizes = np.bincount(bucket)
+        big = sizes[bucket] > BUCKET
+        yield rows[0, big], rows[2, big], None
+        rows, bucket = rows[:, ~big], bucket[~big]
+        fp = rows[2].view(np.uint64)
+        for d in range(1, min(BUCKET, rows.shape[1])):
+            i = np.flatnonzero(bucket[d:] == bucket[:-d])
+            if not len(i):
+                break
+            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= RADIUS]
+            yield rows[0, i], rows[2, i], rows[2, i + d]
+
+    def out(parts):
+        for view, x, y in parts:
+            if len(x):
+                t = pa.Table.from_arrays([pa.array(view, pa.int8()), pa.array(x), pa.nulls(len(x), pa.int64()) if y is None else pa.array(y)], ["view", "a", "b"])
+                yield from t.group_by(["view", "a", "b"]).aggregate([]).select(["view", "a", "b"]).to_batches()
+
     for b in batches:
-        if not b.num_rows:
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in b.columns])
+        if large is not None:
+            on = (rows[0] == large[0]) & (rows[1] == large[1])
+            yield from out([(rows[0, on], rows[2, on], None)])
+            rows = rows[:, ~on]
+            if not rows.shape[1]:
+                continue
+            large = None
+        rows = np.concatenate((held, rows), 1)
+        if not rows.shape[1]:
             continue
-        view, variant, fp = (c.to_numpy() for c in b.columns)
-        same = np.zeros(len(fp), bool)
-        same[1:] = (view[1:] == view[:-1]) & (variant[1:] == variant[:-1])
-        out = same.copy()
-        out[:-1] |= same[1:]
-        extra = None
-        if before is not None and before[0] == view[0] and before[1] == variant[0]:
-            out[0] = True
-            extra = before if not before[3] else None
-        before = (view[-1], variant[-1], fp[-1], bool(out[-1]))
-        v, f = view[out], fp[out]
-        if extra is not None:
-            v, f = np.append(v, extra[0]), np.append(f, extra[2])
-        pairs = pa.Table.from_arrays([pa.array(v, pa.int8()), pa.array(f)], ["view", "fp"]).group_by(["view", "fp"]).aggregate([])
-        yield from pairs.to_batches()
+        last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+        yield from out(found(rows[:, ~last]))
+        held = rows[:, last]
+        if held.shape[1] > BUCKET:
+            large = held[:2, 0].tolist()
+            yield from out([(held[0], held[2], None)])
+            held = held[:, :0]
+    yield from out(found(held))
 
 
 def _ball(fps: np.ndarray) -> pa.RecordBatch:
@@ -161,14 +190,17 @@ def near_links(fps: DataFrame) -> DataFrame:
     """
     halves = _emitted(fps, _halves, "variant long, fp long")
     halves = halves.repartition("view", "variant").sortWithinPartitions("view", "variant")
-    near = stored(halves.mapInArrow(_shared, "view byte, fp long").distinct(), "simhash-near")
-    balls = _emitted(near.repartition("view", "fp"), _ball, "variant long, bits byte, fp long")
-    met = (
+    met = stored(halves.mapInArrow(_met, "view byte, a long, b long"), "simhash-met")
+    large = met.where("b is null").select("view", F.col("a").alias("fp")).distinct()
+    balls = _emitted(large.repartition("view", "fp"), _ball, "variant long, bits byte, fp long")
+    dense = (
         balls.groupBy("view", "variant")
         .agg(F.min(F.struct("bits", "fp")).alias("best"), F.collect_list("fp").alias("members"))  # at most 2,081
         .where("size(members) > 1 and best.bits <= 1")
+        .select("view", F.col("best.fp").alias("a"), F.explode("members").alias("b"))
+        .where("a <> b")
     )
-    return met.select("view", F.col("best.fp").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
+    return met.where("b is not null").unionByName(dense).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
