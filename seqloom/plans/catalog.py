@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import assembly, basics
+from seqloom.plans import assembly, basics, graph
 
-QUERIES: dict = basics.QUERIES | assembly.QUERIES
-ORACLE_SQL: dict = basics.ORACLE_SQL | assembly.ORACLE_SQL
+QUERIES: dict = basics.QUERIES | assembly.QUERIES | graph.QUERIES
+ORACLE_SQL: dict = basics.ORACLE_SQL | assembly.ORACLE_SQL | graph.ORACLE_SQL
