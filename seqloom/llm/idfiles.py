@@ -126,7 +126,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.reset()
-        self.memo = ChunkMemo(self.resolve, self.reset)
+        self.memo = ChunkMemo(self.resolve, self.reset, limit=1_200_000)
 
     def reset(self) -> None:
         self.rows = Ragged()
