@@ -8,7 +8,7 @@ trained jointly in numpy. A word that repeats the one before it is skipped. A fe
 unit: the score of a text is its highest window's, and after the first epoch training
 takes, of each document, the window that scores highest now (labelled as the document)
 and some random ones of unlabelled-1 documents. A last logistic fit of the documents'
-highest window odds calibrates scores.
+highest window odds calibrates scores, both labels weighing the same.
 
 A text shorter than a window is one window padded with nothing. Null and empty texts
 have one empty window. The sample that trains is bounded (``labels.sample``); every word
@@ -185,10 +185,12 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray
     slope, intercept = 0.0, 0.0
     centre, spread = x.mean(), x.std() or 1.0
     z = (x - centre) / spread
+    even = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # both labels weigh the same
     for _ in range(50):  # ridged Newton steps
         p = 1 / (1 + np.exp(-np.clip(slope * z + intercept, -35, 35)))
-        w = p * (1 - p)
-        g = np.array([z @ (p - y) + 0.01 * slope, (p - y).sum()])
+        w = even * p * (1 - p)
+        e = even * (p - y)
+        g = np.array([z @ e + 0.01 * slope, e.sum()])
         h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
         move = np.linalg.solve(h, g)
         slope, intercept = slope - float(np.clip(move[0], -2, 2)), intercept - float(np.clip(move[1], -2, 2))
