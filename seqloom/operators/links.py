@@ -85,6 +85,7 @@ def strong(links: DataFrame, least: int = 3) -> DataFrame:
 
 def without_two_cycles(links: DataFrame) -> DataFrame:
     """Of a -> b and b -> a the lighter goes (of equals, the one that starts at the greater end)."""
+    links = stored_once(links)
     one = both(links)
     back = one.select(F.col("c2").alias("c1"), F.col("s2").alias("s1"), F.col("c1").alias("c2"), F.col("s1").alias("s2"), F.col("weight").alias("w"))
     lighter = one.join(back, END).where((F.col("weight") < F.col("w")) | ((F.col("weight") == F.col("w")) & (F.struct("c1", "s1") > F.struct("c2", "s2"))))

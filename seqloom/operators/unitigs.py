@@ -36,7 +36,7 @@ def steps(kmers: DataFrame, k: int) -> DataFrame:
     return live.select(u.alias("u"), v.alias("v"), base.alias("base"), "n")
 
 
-def chains(kmers: DataFrame, k: int, rounds: int = 40) -> DataFrame:
+def chains(kmers: DataFrame, k: int) -> DataFrame:
     """(head, first, end, len, cov, letters): all walks from a node that isn't linear over linear ones to the next that isn't.
 
     ``first`` is the first node after ``head``, ``len`` counts the nodes after it, ``cov`` adds up the
@@ -53,11 +53,11 @@ def chains(kmers: DataFrame, k: int, rounds: int = 40) -> DataFrame:
     # Each linear node with the furthest linear node known after it, and how many steps off that is.
     state = inner.select("u", F.when(F.col("on"), F.col("v")).otherwise(F.col("u")).alias("to"), F.col("on").cast("int").alias("n"), (~F.col("on")).alias("done"))
     state = cut(state)
-    for _ in range(rounds):
+    for _ in range(inner.count().bit_length()):  # what is open after that is a circle
         if state.where("not done").isEmpty():
             break
         nxt = state.select(F.col("u").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"), F.col("done").alias("d2"))
-        moved = state.where("not done").join(nxt, "to").where("to2 <> u")  # back at the start: a circle
+        moved = state.where("not done").join(nxt, "to").where("to2 <> u")  # back at the start
         moved = moved.select("u", F.col("to2").alias("to"), (F.col("n") + F.col("n2")).alias("n"), F.col("d2").alias("done"))
         state = cut(state.where("done").unionByName(moved))
     # A chain is named by its last linear node; its letters are put together once.
