@@ -8,8 +8,8 @@ Ball hashing. A fingerprint emits the variants within half the radius and is shu
 them, so that linked fingerprints meet on a variant between them. It runs on halves first:
 fingerprints at distance 3 or less differ in at most one bit in one 32-bit half. As a
 single bit changes a half's parity, even halves emit themselves, odd ones themselves and
-their 32 one-bit variants. Fingerprints that meet are verified pair by pair in buckets of
-up to ``BUCKET``. Those in larger buckets (a group of very many near copies) emit variants of
+their 32 one-bit variants. Fingerprints that meet are compared in buckets of up to
+``BUCKET``, and enough links kept to connect all that are linked there. Those in larger buckets (a group of very many near copies) emit variants of
 all 64 bits, where no pairs are needed:
 
 * odd fingerprints emit their 64 one-bit variants;
@@ -48,8 +48,8 @@ RADIUS = 3
 BITS = 64
 HALF = 32
 SEED = 42
-#: Fingerprints in a bucket whose pairs are all verified; more are met in the whole ball.
-BUCKET = 64
+#: Fingerprints in a bucket that are compared with each other; more are met in the whole ball.
+BUCKET = 4096
 #: Shingles hashed and counted at a time, so that a very long text needs bounded memory.
 PART = 1 << 16
 
@@ -117,10 +117,10 @@ def _halves(fps: np.ndarray) -> pa.RecordBatch:
 
 
 def _met(batches):
-    """Of rows sorted by view and variant: linked pairs of fingerprints that share one.
+    """Of rows sorted by view and variant: links between fingerprints that share one.
 
-    All pairs of up to ``BUCKET`` fingerprints are verified here; those of larger buckets come
-    out alone, to be met in the whole ball.
+    Up to ``BUCKET`` fingerprints are compared here, and links that connect what was not connected
+    come out: about one a fingerprint. Those of larger buckets come out alone, to be met in the whole ball.
     """
     held, large = np.empty((3, 0), np.int64), None  # the last bucket so far, or its key once it is large
 
@@ -132,12 +132,21 @@ def _met(batches):
         yield rows[0, big], rows[2, big], None
         rows, bucket = rows[:, ~big], bucket[~big]
         fp = rows[2].view(np.uint64)
-        for d in range(1, min(BUCKET, rows.shape[1])):
+        part = np.arange(len(fp))  # the least row known to be connected; links inside a part are left out
+        for d in range(1, min(BUCKET, len(fp))):
             i = np.flatnonzero(bucket[d:] == bucket[:-d])
             if not len(i):
                 break
+            i = i[part[i] != part[i + d]]
             i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= RADIUS]
-            yield rows[0, i], rows[2, i], rows[2, i + d]
+            if len(i):
+                yield rows[0, i], rows[2, i], rows[2, i + d]
+                while (part[i] != part[i + d]).any():
+                    low = np.minimum(part[i], part[i + d])
+                    np.minimum.at(part, part[i], low)
+                    np.minimum.at(part, part[i + d], low)
+                    while (part != part[part]).any():
+                        part = part[part]
 
     def out(parts):
         for view, x, y in parts:
