@@ -5,9 +5,9 @@ item if that has fewer. A document leaks an item if a window of as many words as
 the item has (the whole document if it has fewer) reaches ``LEAST`` in weighted Jaccard
 similarity of shingles, repeats counted.
 
-1. Windows. With equal numbers of shingles S, a similarity of 0.8 needs 8/9 of S in common,
-   so windows are only laid where a document has that many of the item's shingles
-   within S places. The best window can be shifted right to the next such shingle
+1. Windows. With S shingles in the item and D in the window (S, or fewer if the document is
+   shorter than the item), a similarity of 0.8 needs 4/9 of S + D in common, so windows are
+   only laid where a document has that many of the item's shingles within S places. The best window can be shifted right to the next such shingle
    (or the document's end) without losing any, so windows start there; none is missed.
 2. Fingerprints. Equal windows of all documents are one row. Its SimHash and the items' are
    64 bits, in ``BLOCKS`` blocks. Fingerprints within ``RADIUS`` bits differ in at most
@@ -106,8 +106,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         return docs.select(F.col(key)).limit(0).select(key, F.lit(None).cast("long").alias(item), F.lit(0.0).alias("similarity"), F.lit(0).alias("start"))
     sides = items.select("item", "n", "width", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))).alias("i"), "words")
     cut = _words(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "t").select("id", F.xxhash64("t").alias("rid"), "words")
-    # The common part of two lists of equal size s at the least similarity.
-    need = F.ceil(F.lit(2 * least / (1 + least) - 1e-9) * (F.col("n") - F.col("width") + 1)).cast("int")
+    # The common part of an item's shingles and a window's at the least similarity.
+    whole = F.col("n") - F.col("width") + 1
+    own = F.greatest(F.size("words") - F.col("width"), F.lit(0)) + 1
+    need = F.ceil(F.lit(least / (1 + least)) * (whole + F.least(whole, own)) - F.lit(1e-9)).cast("int")
     found = None
     for w in widths:
         code = lambda at: F.xxhash64(*(F.get("words", F.col(at) + k) for k in range(w)))  # noqa: E731, B023
@@ -115,14 +117,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         places = cut.where(F.size("words") >= w).select("id", "rid", "words", F.explode(F.sequence(F.lit(0), F.size("words") - w)).alias("pos"))
         hits = places.withColumn("code", code("pos")).join(_small(wanted, count), "code")
         start = F.least("pos", F.greatest(F.size("words") - F.col("n"), F.lit(0)))
-        hits = hits.select("id", "rid", "item", "n", "width", "pos", start.alias("start"), F.array_join(F.slice("words", start + 1, F.col("n")), " ").alias("window"))
+        hits = hits.select("id", "rid", "item", "n", "width", need.alias("need"), "pos", start.alias("start"), F.array_join(F.slice("words", start + 1, F.col("n")), " ").alias("window"))
         found = hits if found is None else found.unionByName(hits)
-    grouped = found.groupBy("id", "rid", "item", "n", "width").agg(F.array_sort(F.collect_set(F.struct("pos", "start", "window"))).alias("hits"))
+    grouped = found.groupBy("id", "rid", "item", "n", "width", "need").agg(F.array_sort(F.collect_set(F.struct("pos", "start", "window"))).alias("hits"))
     dense = F.filter(
         "hits",
-        lambda h, i: F.coalesce(F.get(F.col("hits"), i + need - 1)["pos"] - h["pos"] <= F.col("n") - F.col("width"), F.lit(False)),
+        lambda h, i: F.coalesce(F.get(F.col("hits"), i + F.col("need") - 1)["pos"] - h["pos"] <= F.col("n") - F.col("width"), F.lit(False)),
     )
-    laid = grouped.where(F.size("hits") >= need).select("id", "n", "width", F.explode(dense).alias("h"))
+    laid = grouped.where(F.size("hits") >= F.col("need")).select("id", "n", "width", F.explode(dense).alias("h"))
     laid = stored(laid.select("id", "n", "width", "h.start", "h.window").distinct(), "windows")
     # Equal windows are fingerprinted once.
     windows = laid.select("n", "width", "window").distinct().withColumn("shingles", _shingles(F.split("window", " "), F.col("width")))

@@ -241,6 +241,15 @@ def test_decontamination(spark):
     assert decontaminate.leaks(empty(spark), bench).count() == 0 and decontaminate.leaks(docs(spark, cases), bench.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_the_item_leak_it(spark):
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "a b c d e f g h i j k l m n")], "item_id long, text string")
+    cases = [" ".join(words[:n]) for n in range(44, 60)] + [" ".join(words[:20] + ["new"] + words[21:55]), "a b c d e f g h i j k l", "b c d e f g h i j k l"]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs(spark, cases), bench).collect()}
+    want = {(i, 1): (n - 4) / 56 for i, n in enumerate(range(44, 60)) if n - 4 >= 0.8 * 56} | {(17, 2): 0.8}
+    assert {k: r.similarity for k, r in got.items()} == pytest.approx(want) and {r.start for r in got.values()} == {0}
+
+
 def test_near_copies_go(spark, texts):
     long = [t for t in texts.values() if t and 300 < len(t.split()) < 900][:10]
     edited = [re.sub(r"^(\S+ )(.*)$", r"\1changed \2", t, flags=re.S) for t in long]
