@@ -260,6 +260,31 @@ def test_near_copies_go(spark, texts):
     assert neardedup.deduplicated(empty(spark)).count() == 0
 
 
+def _near(cases, least=neardedup.LEAST):
+    """Component of each text by comparing all pairs."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in cases]
+    part = list(range(len(cases)))
+    for j in range(len(cases)):
+        for i in range(j):
+            if part[i] != part[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+                part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+    return part
+
+
+def _grouped(spark, cases):
+    return [r.component for r in neardedup.groups(docs(spark, cases)).orderBy("id").collect()]
+
+
+def test_near_copies_in_a_family_of_other_texts_go(spark):
+    rng, shared = np.random.default_rng(2), "a form that all of a family fill in with words of their own".split()
+    cases = []
+    for _ in range(60):  # alike in words, so that they meet in the views, but not near
+        cases.append(" ".join(w for i in rng.permutation(60) for w in (shared[i % 13], shared[i % 7])))
+    cases += [" ".join(t.split()[:-3] + ["end"]) for t in cases]
+    want = _near(cases)
+    assert sorted(set(want)) == list(range(60)) and _grouped(spark, cases) == want
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as C
 
