@@ -275,6 +275,17 @@ def _grouped(spark, cases):
     return [r.component for r in neardedup.groups(docs(spark, cases)).orderBy("id").collect()]
 
 
+def test_near_copies_with_one_contiguous_change_or_few_words_go(spark):
+    rng, cases = np.random.default_rng(1), []
+    for n in (9, 13, 20, 30, 100, 300, 500):
+        for _ in range(8):
+            w = [f"w{i}" for i in rng.integers(0, 10**6, n)]
+            footer = [f"w{i}" for i in rng.integers(0, 10**6, n // 5)]
+            cases += [" ".join(x) for x in (w, w + footer, footer + w, w[:-1] + ["last"], w[:-2])]
+    want = _near(cases)
+    assert sum(p != i for i, p in enumerate(want)) > 150 and _grouped(spark, cases) == want
+
+
 def test_near_copies_in_a_family_of_other_texts_go(spark):
     rng, shared = np.random.default_rng(2), "a form that all of a family fill in with words of their own".split()
     cases = []
