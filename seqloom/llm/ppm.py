@@ -11,9 +11,10 @@ symbols are also its shorter contexts', so exclusion takes from a context's tota
 just the longer one's symbols: numbers that each node of the trie keeps.
 
 What is gathered from the corpus: the counts of all distinct words, for the base score
-(add-one-half unigrams), and of all of the trie's longest paths. The order is the
-greatest, up to ``ORDER``, whose trie has at most ``PATHS`` paths, which bounds what is sent
-to the tasks. Words that occur most - at most ``HOT`` - are looked up where the texts are
+(add-one-half unigrams), and of all of the trie's longest paths. A trie of at most ``PATHS``
+paths is sent to the tasks. A larger one stays in Spark: tasks get the logs of its most
+frequent paths, at most ``PATHS``, and pass on the other paths of each row, whose logs
+come from joins with the levels of the trie; the scores are the same. Words that occur most - at most ``HOT`` - are looked up where the texts are
 read; all others are joined by a shuffle, in which therefore no key is hot.
 
 Null texts count as empty: just the end. Repeated rows are rows of their own. With no
@@ -273,16 +274,68 @@ def trie(docs: DataFrame, train: Column, order: int, text: str = "text") -> Data
     return _texts(docs, text, train).where("train").mapInArrow(run, "path long, n long").groupBy("path").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", order: int = ORDER, most: int = PATHS) -> tuple[np.ndarray, np.ndarray, int]:
-    """The trie's longest paths, their counts, and its order."""
-    counted = stored(trie(docs, train, order, text), "ppm-paths")
-    tail = lambda k: F.col("path").bitwiseAND((1 << 8 * (k + 1)) - 1)
-    sizes = {order: counted.count()}
-    while order > 1 and sizes[order] > most:
-        order -= 1
-        sizes[order] = counted.select(tail(order)).distinct().count()
-    rows = counted.groupBy(tail(order).alias("path")).agg(F.sum("n").alias("n")).toArrow()
-    return rows["path"].to_numpy(), rows["n"].to_numpy(), order
+class Frequent:
+    """The logs of some paths; what else texts have is passed on."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        self.table = Table(codes, logs)
+
+    def score(self, bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The known paths' part of each text's score; text, path and times of the others."""
+        codes, n = path_codes([stream(w, ORDER) for w in bags], ORDER)
+        out = self.table.get(codes)
+        gone = np.isnan(out)
+        out[gone] = 0.0
+        bits = 8 * (ORDER + 1)
+        other, times = np.unique(np.repeat(np.arange(len(n)), n)[gone] << bits | codes[gone], return_counts=True)
+        return sums(out, n), other >> bits, other & ((1 << bits) - 1), times
+
+
+def levels(counted: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of each level of the trie, (path, c) and of its contexts (x, t, d, whole, on): see ``Ppm``. Low levels are broadcast: their keys are few."""
+    paths, contexts = [], []
+    for k in range(order + 1):
+        own = stored(counted.groupBy(_tail("path", k + 1).alias("path")).agg(F.sum("n").alias("c")), f"ppm-level{k}")
+        at = own.groupBy(F.shiftright("path", 8).alias("x")).agg(F.sum("c").alias("t"), F.count("*").alias("d"))
+        if not k:
+            at = at.withColumn("whole", F.lit(None).cast("double")).withColumn("on", F.lit(None).cast("double"))
+        else:
+            shorter = paths[-1].select(F.col("path").alias("short"), F.col("c").alias("less"))
+            gone = own.withColumn("short", _tail("path", k)).join(shorter, "short").groupBy(F.shiftright("path", 8).alias("x")).agg(F.sum("less").alias("less"))
+            below = contexts[-1].select(F.col("x").alias("y"), F.col("t").alias("bt"), F.col("d").alias("bd"))
+            at = at.join(gone, "x").withColumn("y", _tail("x", k - 1)).join(below, "y")
+            t, d = F.col("bt") - F.col("less"), F.col("bd") - F.col("d")
+            on = F.when(d > 0, F.log10(d / (t + d))).otherwise(0.0)
+            at = at.select("x", "t", "d", F.when(t + d > 0, F.log10(t + d)).alias("whole"), on.alias("on"))
+        at = stored(at, f"ppm-contexts{k}")
+        paths.append(F.broadcast(own) if k < 2 else own)
+        contexts.append(F.broadcast(at) if k < 3 else at)
+    return paths, contexts
+
+
+def _tail(name: str, size: int) -> Column:
+    return F.col(name).bitwiseAND(F.lit((1 << 8 * size) - 1).cast("long"))
+
+
+def path_logs(codes: DataFrame, trie_levels: tuple[list[DataFrame], list[DataFrame]]) -> DataFrame:
+    """(path, log) of distinct longest paths (path), in the trie or not."""
+    paths, contexts = trie_levels
+    out = codes.withColumn("context", F.shiftright("path", 8))
+    for k, (own, at) in enumerate(zip(paths, contexts)):
+        out = out.withColumn("p", _tail("path", k + 1)).join(own.select(F.col("path").alias("p"), F.col("c").alias(f"c{k}")), "p", "left").drop("p")
+        about = at.select("x", *(F.col(c).alias(f"{c}{k}") for c in ("t", "d", "whole", "on")))
+        out = out.withColumn("x", _tail("context", k)).join(about, "x", "left").drop("x")
+    rest = -float(np.log10(max(1, SYMBOLS - paths[0].count())))
+    on, fresh = F.lit(rest), F.lit(rest)  # the log from this level on, below a known context and with none known yet
+    for k in range(len(paths)):
+        c, t, d = F.col(f"c{k}"), F.col(f"t{k}"), F.col(f"d{k}")
+        first = F.when(c.isNotNull(), F.log10(c / (t + d))).otherwise(F.log10(d / (t + d)) + on)
+        fresh = F.when(t.isNull(), fresh).otherwise(first)
+        if k + 1 < len(paths):
+            on = F.when(c.isNotNull(), F.log10(c) - F.col(f"whole{k + 1}")).otherwise(F.col(f"on{k + 1}") + on)
+            out = out.withColumn(f"l{k}", on).withColumn(f"f{k}", fresh)
+            on, fresh = F.col(f"l{k}"), F.col(f"f{k}")
+    return out.select("path", fresh.alias("log"))
 
 
 def _based(words: DataFrame, total: int, distinct: int) -> DataFrame:
@@ -306,7 +359,7 @@ def _hot(scored: DataFrame, most: int) -> DataFrame:
     return scored.where(size >= least) if least is not None else scored.limit(0)
 
 
-def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", most: int = PATHS) -> DataFrame:
     """``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row."""
     spark = docs.sparkSession
     words = stored(vocabulary(docs, train, text), "ppm-words")
@@ -314,11 +367,20 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     based = _based(words, total, distinct)
     hot = _hot(based, HOT).toArrow()
     frequent = dict(zip(hot["word"].to_pylist(), zip(hot["known"].to_pylist(), hot["base"].to_pylist())))
-    shared = spark.sparkContext.broadcast((frequent, fit(docs, train, text)))  # HOT words and PATHS paths at most
+    counted = stored(trie(docs, train, ORDER, text), "ppm-paths")
+    whole = counted.count() <= most
+    if whole:
+        rows, trie_levels = counted.toArrow(), None
+        held = (rows["path"].to_numpy(), rows["n"].to_numpy(), ORDER)
+    else:
+        trie_levels = levels(counted)
+        rows = path_logs(_hot(counted, most).select("path"), trie_levels).toArrow()
+        held = (rows["path"].to_numpy(), rows["log"].to_numpy())
+    shared = spark.sparkContext.broadcast((frequent, held))  # HOT words and ``most`` paths at most
     name = uuid.uuid4().hex
-    schema = "row long, id long, word binary, n long, known long, base double, ppm double"
-    fields = ["row", "id", "word", "n", "known", "base", "ppm"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = "row long, id long, word binary, n long, known long, base double, ppm double, path long"
+    fields = ["row", "id", "word", "n", "known", "base", "ppm", "path"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
     def batch(columns: list, rows: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], fields)
@@ -326,7 +388,7 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _LAST:
             _LAST.clear()
-            _LAST[name] = Ppm(*shared.value[1])
+            _LAST[name] = (Ppm if whole else Frequent)(*shared.value[1])
         near, model = shared.value[0], _LAST[name]
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches, 256):
@@ -349,10 +411,15 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
                     own.append((row, i, len(w) + 1, known, base))
                     row += 1
                 r, i, n, k, x = zip(*own)
-                yield batch([r, i, None, n, k, x, model.score(bags)], len(own))
+                scores = model.score(bags)
+                if not whole:
+                    scores, at, path, times = scores
+                    if len(at):
+                        yield batch([np.array(r)[at], None, None, times, None, None, None, path], len(at))
+                yield batch([r, i, None, n, k, x, scores, None], len(own))
                 if rest:
                     r, x, n = zip(*rest)
-                    yield batch([r, None, x, n, None, None, None], len(rest))
+                    yield batch([r, None, x, n, None, None, None, None], len(rest))
 
     read = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     bags = stored(read.mapInArrow(run, schema), "ppm-bags")
@@ -364,7 +431,13 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
         (F.col("times") * F.col("base")).alias("base"),
         F.lit(0.0).alias("ppm"),
     )
-    rows = bags.where("word is null").select("row", "id", "n", "known", "base", "ppm").unionByName(rare)
+    rows = bags.where("word is null and path is null").select("row", "id", "n", "known", "base", "ppm").unionByName(rare)
+    if not whole:
+        other = bags.where("path is not null").select("row", "path", F.col("n").alias("times"))
+        logs = stored(path_logs(other.select("path").distinct(), trie_levels), "ppm-logs")
+        none = {"id": None, "n": 0, "known": 0}
+        part = other.join(logs, "path").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("ppm"))
+        rows = rows.unionByName(part.select("row", *(F.lit(v).cast("long").alias(c) for c, v in none.items()), F.lit(0.0).alias("base"), "ppm"))
     return rows.groupBy("row").agg(
         F.max("id").alias(key),
         F.sum("n").alias("n_tokens"),

@@ -165,6 +165,15 @@ def test_language_model_is_brute_forces(spark, texts):
     assert ppm.score_texts(empty(spark), F.lit(True)).count() == 0
 
 
+def test_scores_do_not_depend_on_the_size_of_the_trie(spark, texts):
+    from pyspark.sql import functions as F
+
+    d, train = docs(spark, [None, "", "A a  b", "never seen: zq \u65e5"] + list(texts.values())[:40]), F.col("doc_id") % 4 != 3
+    want = {r.doc_id: r.score for r in ppm.score_texts(d, train).collect()}
+    got = {r.doc_id: r.score for r in ppm.score_texts(d, train, most=500).collect()}
+    assert got == pytest.approx(want, abs=1e-2, rel=1e-6) and len(got) == 44
+
+
 def test_classifiers_on_held_out_rows(spark, sf_dir):
     big = sf_dir.replace("0.001", "0.1")
     from pyspark.sql import functions as F
