@@ -15,7 +15,6 @@ only if named. Repeated rows are encoded alike; an empty table gives an empty ta
 from __future__ import annotations
 
 import base64
-import functools
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from seqloom.llm.chunks import ChunkMemo, Ragged, flat
-from seqloom.llm.common import map_text
+from seqloom.llm.common import kept, map_text
 
 NONE = np.iinfo(np.int64).max
 #: Pieces of up to so many bytes are merged in lockstep.
@@ -223,9 +222,8 @@ class ByteBpe:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
-@functools.lru_cache(maxsize=2)
 def _coder(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(load_ranks(path), pattern)
+    return kept(f"bpe {path} {pattern}", lambda: ByteBpe(load_ranks(path), pattern))
 
 
 def byte_bpe(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_KEPT: dict = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """``make()``, kept between the tasks of a Python worker until another name is asked for.
+
+    A worker serves stage after stage; it holds the model and memo of one operator only.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 #: Words are runs of bytes other than ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 

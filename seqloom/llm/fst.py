@@ -20,7 +20,6 @@ Null texts count as empty: zero tokens.
 
 from __future__ import annotations
 
-import functools
 import json
 import unicodedata
 
@@ -30,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from seqloom.llm.chunks import ChunkMemo, sums
-from seqloom.llm.common import map_text
+from seqloom.llm.common import kept, map_text
 
 #: Bytes in a block of a long piece.
 BLOCK = 256
@@ -296,9 +295,8 @@ class TokenCounter:
         return sums(self.tokens[numbers].astype(np.int64), per_text)
 
 
-@functools.lru_cache(maxsize=2)
 def _counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return kept(f"fst {path}", lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, key: list[str], text: str = "text", out: str = "n_tokens") -> DataFrame:

@@ -15,8 +15,8 @@ texts' order. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
-import functools
 import io
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.chunks import ChunkMemo, Ragged, flat
-from seqloom.llm.common import scratch, slices
+from seqloom.llm.common import kept, scratch, slices
 
 MAGIC = b"SQLMIDS1"
 BLOCK = 8192
@@ -143,12 +143,9 @@ class LibraryEncoder:
         return self.rows.gather(numbers), np.diff(ends[at])
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> LibraryEncoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return LibraryEncoder(path)
+    return kept(f"ids {path}", lambda: LibraryEncoder(path))
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.chunks import sums
-from seqloom.llm.common import slices, stored
+from seqloom.llm.common import kept, slices, stored
 
 ORDER = 5
 PATHS = 3_000_000
@@ -344,9 +344,6 @@ def _based(words: DataFrame, total: int, distinct: int) -> DataFrame:
     return words.select("word", "n", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"))
 
 
-_LAST: dict = {}
-
-
 def _hot(scored: DataFrame, most: int) -> DataFrame:
     """The most frequent words, at most ``most``: those from the least power of 2 ** (1/8) on that few enough reach."""
     size = F.floor(F.log2(F.col("n").cast("double")) * 8)
@@ -386,10 +383,7 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
         return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _LAST:
-            _LAST.clear()
-            _LAST[name] = (Ppm if whole else Frequent)(*shared.value[1])
-        near, model = shared.value[0], _LAST[name]
+        near, model = shared.value[0], kept(name, lambda: (Ppm if whole else Frequent)(*shared.value[1]))
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches, 256):
             texts = zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from seqloom.llm.chunks import ChunkMemo, Ragged, sums
-from seqloom.llm.common import filter_text, map_text
+from seqloom.llm.common import filter_text, kept, map_text
 
 BUCKETS = 1 << 18
 SCALE = 20.0
@@ -154,20 +154,10 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray
     return w[:-1], float(w[-1])
 
 
-_LAST: dict = {}
-
-
 def _loaded(docs: DataFrame, model: tuple):
     """A function that gives a task its featuriser and the bias."""
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # BUCKETS weights
-
-    def load():
-        if name not in _LAST:  # kept between a worker's tasks
-            _LAST.clear()
-            _LAST[name] = Features(shared.value[0])
-        return _LAST[name], shared.value[1]
-
-    return load
+    return lambda: (kept(name, lambda: Features(shared.value[0])), shared.value[1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], key: list[str], text: str = "text", out: str = "score") -> DataFrame:

@@ -7,8 +7,9 @@ which a linear softmax turns into the odds of label 1; embeddings and softmax ar
 trained jointly in numpy. A word that repeats the one before it is skipped. A few toxic words decide a long document, so windows are the
 unit: the score of a text is its highest window's, and after the first epoch training
 takes, of each document, the window that scores highest now (labelled as the document)
-and some random ones of unlabelled-1 documents. A last logistic fit of the documents'
-highest window odds calibrates scores, both labels weighing the same.
+and some random ones of unlabelled-1 documents. A logistic fit calibrates scores: of the
+documents' highest window odds under models that haven't seen them (``FOLDS`` of them), as
+documents that trained a model score lower or higher than others.
 
 A text shorter than a window is one window padded with nothing. Null and empty texts
 have one empty window. The sample that trains is bounded (``labels.sample``); every word
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from seqloom.llm.chunks import ChunkMemo, Ragged, sums
-from seqloom.llm.common import filter_text, map_text
+from seqloom.llm.common import filter_text, kept, map_text
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -36,6 +37,8 @@ WINDOW, STRIDE = 16, 4
 EPOCHS = 8
 BATCH = 256
 RATE = 0.5
+#: Parts of the sample that are each judged by a model of the rest, for the calibration.
+FOLDS = 3
 
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -107,110 +110,137 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(counts) - counts)[text] + nth * STRIDE, text
 
 
-def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float, float]:
+def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, folds: int = FOLDS) -> tuple[np.ndarray, float, float]:
     """Odds of each bucket (embedding times softmax weights), and the calibration's slope and intercept."""
     label = np.array([y for _, y in rows], np.int64)
     share = label.mean() if len(label) else 0.0
     if not 0 < share < 1:
-        return np.zeros(BUCKETS), 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else 35.0 * (2 * share - 1)
-    words = Words()
-    words.memo.limit = words.memo.limit_bytes = 1 << 62  # the sample is bounded
-    numbers, counts = words.numbered([t.encode() for t, _ in rows])
-    start, text = windows(counts)
-    stop = np.minimum(start + WINDOW, np.cumsum(counts)[text])
-    first = np.searchsorted(text, np.arange(len(rows)))
-    random = np.random.default_rng(5)
-    embed = random.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    soft = random.normal(0, 0.5, (DIM, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    g_embed, g_soft = np.full(BUCKETS, 1e-4, np.float32), 1e-2
-    every = words.grams
-
-    def step(which: np.ndarray, y: np.ndarray) -> None:
-        nonlocal g_soft, soft, bias
-        size = stop[which] - start[which]
-        at = np.repeat(start[which] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        n = numbers[at]
-        buckets, per_word = every.gather(n), every.count[n]
+        return np.zeros(BUCKETS), 0.0, 35.0 * (2 * share - 1)
+    sample = Sample([t.encode() for t, _ in rows], label)
+    fold = np.empty(len(label), np.int64)  # as many of each label in every fold
+    for y in (0, 1):
+        fold[label == y] = np.arange((label == y).sum()) % folds
+    apart, seen = np.zeros(len(label)), np.zeros(len(label), bool)
+    for k in range(folds):
+        rest = fold != k
+        if 0 < label[rest].mean() < 1:
+            apart[~rest], seen[~rest] = sample.highest(sample.fit(rest, epochs))[~rest], True
+    odds = sample.fit(np.ones(len(label), bool), epochs)
+    if not seen.any():  # a label with one row
+        apart, seen = sample.highest(odds), ~seen
+    slope, intercept = calibrated(apart[seen], label[seen])
+    return odds, slope, intercept
+
+
+class Sample:
+    """Labelled texts as windows of numbered words."""
+
+    def __init__(self, texts: list[bytes], label: np.ndarray):
+        words = Words()
+        words.memo.limit = words.memo.limit_bytes = 1 << 62  # the sample is bounded
+        self.label, self.numbers, counts = label, *words.numbered(texts)
+        self.every = words.grams
+        self.start, self.text = windows(counts)
+        self.stop = np.minimum(self.start + WINDOW, np.cumsum(counts)[self.text])
+        self.first = np.searchsorted(self.text, np.arange(len(texts)))
+
+    def window_odds(self, odds: np.ndarray) -> np.ndarray:
+        """Each window's sum of word odds, from the buckets' odds."""
+        count = self.every.count[: self.every.rows].astype(np.int64)
+        word = sums(odds[self.every.flat[: self.every.used]], count) / count
+        run = np.concatenate(([0.0], np.cumsum(word[self.numbers])))
+        return run[self.stop] - run[self.start]
+
+    def highest(self, odds: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(self.window_odds(odds), self.first)
+
+    def fit(self, used: np.ndarray, epochs: int) -> np.ndarray:
+        """The buckets' odds, from the texts that are ``used``."""
+        random = np.random.default_rng(5)
+        model = Softmax(random)
+        label, text, n = self.label, self.text, int(used.sum())
+        mine = used[text]
+        clean, toxic = np.flatnonzero(mine & (label[text] == 0)), np.flatnonzero(mine & (label[text] == 1))
+        for epoch in range(epochs):
+            if epoch:
+                odds = self.window_odds(model.odds())
+                best = np.flatnonzero((odds == np.maximum.reduceat(odds, self.first)[text]) & mine)
+                best = best[np.concatenate(([True], text[best][1:] != text[best][:-1]))]
+                chosen = np.concatenate((best, random.choice(clean, min(len(clean), 2 * n), replace=False)))
+            else:
+                some = random.choice(toxic, min(len(toxic), 12 * n), replace=False)
+                chosen = np.concatenate((some, random.choice(clean, min(len(clean), len(some)), replace=False)))
+            chosen = random.permutation(chosen)
+            for k in range(0, len(chosen), BATCH):
+                self.step(model, chosen[k : k + BATCH])
+        return model.odds()
+
+    def step(self, model: Softmax, which: np.ndarray) -> None:
+        """One update by some windows."""
+        size = self.stop[which] - self.start[which]
+        at = np.repeat(self.start[which] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        n = self.numbers[at]
+        buckets, per_word = self.every.gather(n), self.every.count[n]
         window = np.repeat(np.repeat(np.arange(len(which)), size), per_word)
         share = np.repeat(1.0 / (WINDOW * per_word), per_word).astype(np.float32)
-        # The same bucket is often in one window or batch: work on distinct (bucket, window) pairs.
-        key, inverse = np.unique(buckets * len(which) + window, return_inverse=True)
-        weight = np.bincount(inverse, share).astype(np.float32)
-        b, w = key // len(which), key % len(which)
-        order = np.argsort(w, kind="stable")
-        hidden = np.zeros((len(which), DIM), np.float32)
-        full = np.flatnonzero(np.bincount(w, minlength=len(which)))
-        cuts = np.searchsorted(w[order], full)
-        hidden[full] = np.add.reduceat(embed[b[order]] * weight[order, None], cuts) if len(full) else 0
-        out = hidden @ soft + bias
+        model.step(buckets, window, share, self.label[self.text[which]])
+
+
+class Softmax:
+    """Embeddings of buckets and the softmax over their means, updated together with rates of their own (AdaGrad)."""
+
+    def __init__(self, random: np.random.Generator):
+        self.embed = random.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+        self.soft = random.normal(0, 0.5, (DIM, 2)).astype(np.float32)
+        self.bias = np.zeros(2, np.float32)
+        self.g_embed, self.g_soft = np.full(BUCKETS, 1e-4, np.float32), 1e-2
+
+    def odds(self) -> np.ndarray:
+        return self.embed.astype(np.float64) @ (self.soft[:, 1] - self.soft[:, 0]).astype(np.float64)
+
+    def step(self, bucket: np.ndarray, window: np.ndarray, weight: np.ndarray, y: np.ndarray) -> None:
+        """Buckets of windows (ascending) with their weights; y: the windows' labels."""
+        hidden = np.zeros((len(y), DIM), np.float32)
+        full = np.flatnonzero(np.bincount(window, minlength=len(y)))
+        if len(full):
+            hidden[full] = np.add.reduceat(self.embed[bucket] * weight[:, None], np.searchsorted(window, full))
+        out = hidden @ self.soft + self.bias
         p = np.exp(out - out.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        back = p @ soft.T
-        used = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.empty(0, np.int64)
-        g = np.add.reduceat(back[w] * weight[:, None], used) if len(b) else np.empty((0, DIM), np.float32)
-        rows_ = b[used]
-        g_embed[rows_] += (g * g).mean(1)
-        embed[rows_] -= RATE * g / np.sqrt(g_embed[rows_])[:, None]
+        if len(bucket):
+            order = np.argsort(bucket, kind="stable")
+            own = bucket[order]
+            cuts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            g = np.add.reduceat((p @ self.soft.T)[window[order]] * weight[order, None], cuts)
+            rows = own[cuts]
+            self.g_embed[rows] += (g * g).mean(1)
+            self.embed[rows] -= RATE * g / np.sqrt(self.g_embed[rows])[:, None]
         d = hidden.T @ p / len(y)
-        g_soft += float((d * d).mean())
-        soft -= 0.1 * d / np.sqrt(g_soft)
-        bias -= 0.1 * p.mean(0)
-
-    def word_odds() -> np.ndarray:
-        odds = embed @ (soft[:, 1] - soft[:, 0])
-        return sums(odds[every.flat[: every.used]].astype(np.float64), every.count[: every.rows].astype(np.int64)) / every.count[: every.rows]
-
-    def window_odds() -> np.ndarray:
-        run = np.concatenate(([0.0], np.cumsum(word_odds()[numbers])))
-        return run[stop] - run[start]
-
-    clean = np.flatnonzero(label[text] == 0)
-    for epoch in range(epochs):
-        if epoch:
-            odds = window_odds()
-            top = np.maximum.reduceat(odds, first)
-            best = np.flatnonzero(odds == top[text])
-            best = best[np.concatenate(([True], text[best][1:] != text[best][:-1]))]
-            chosen = np.concatenate((best, random.choice(clean, min(len(clean), 2 * len(rows)), replace=False)))
-        else:
-            some = np.flatnonzero(label[text] == 1)
-            some = random.choice(some, min(len(some), 12 * len(rows)), replace=False)
-            chosen = np.concatenate((some, random.choice(clean, min(len(clean), len(some)), replace=False)))
-        chosen = random.permutation(chosen)
-        for k in range(0, len(chosen), BATCH):
-            step(chosen[k : k + BATCH], label[text[chosen[k : k + BATCH]]])
-    x, y = np.maximum.reduceat(window_odds(), first), label
+        self.g_soft += float((d * d).mean())
+        self.soft -= 0.1 * d / np.sqrt(self.g_soft)
+        self.bias -= 0.1 * p.mean(0)
+
+
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit by ridged Newton steps."""
     slope, intercept = 0.0, 0.0
     centre, spread = x.mean(), x.std() or 1.0
     z = (x - centre) / spread
-    even = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # both labels weigh the same
-    for _ in range(50):  # ridged Newton steps
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(slope * z + intercept, -35, 35)))
-        w = even * p * (1 - p)
-        e = even * (p - y)
+        w, e = p * (1 - p), p - y
         g = np.array([z @ e + 0.01 * slope, e.sum()])
         h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
         move = np.linalg.solve(h, g)
         slope, intercept = slope - float(np.clip(move[0], -2, 2)), intercept - float(np.clip(move[1], -2, 2))
-    return embed.astype(np.float64) @ (soft[:, 1] - soft[:, 0]).astype(np.float64), slope / spread, intercept - slope * centre / spread
-
-
-_LAST: dict = {}
+    return slope / spread, intercept - slope * centre / spread
 
 
 def _loaded(docs: DataFrame, model: tuple):
     """A function that gives a task its words, and the calibration."""
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # BUCKETS numbers
-
-    def load():
-        if name not in _LAST:  # kept between a worker's tasks
-            _LAST.clear()
-            _LAST[name] = Words(shared.value[0])
-        return (_LAST[name], *shared.value[1:])
-
-    return load
+    return lambda: (kept(name, lambda: Words(shared.value[0])), *shared.value[1:])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float], key: list[str], text: str = "text", out: str = "score") -> DataFrame:
