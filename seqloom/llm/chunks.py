@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class Ragged:
@@ -47,34 +49,56 @@ class Ragged:
         return self.flat[np.repeat(self.start[rows] - ends + counts, counts) + np.arange(total)]
 
 
+def words(texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words (between ASCII white space) of some texts, the words of all texts in a row as numbers of these, and how many each text has."""
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    index, counts = coded.indices.to_numpy().astype(np.int64), np.diff(split.offsets.to_numpy()).astype(np.int64)
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    blank = pc.index(coded.dictionary, "").as_py()
+    if blank >= 0:  # at a text's ends
+        kept = index != blank
+        index, counts = index[kept], sums(kept.astype(np.int64), counts)
+        index -= index > blank
+        del distinct[blank]
+    return distinct, index, counts
+
+
 class ChunkMemo(dict):
     """chunk -> number; ``resolve(new chunks)`` is called once a batch, before numbers are used."""
 
     def __init__(self, resolve: Callable[[list], None], reset: Callable[[], None], limit: int = 700_000, limit_bytes: int = 24 << 20):
         super().__init__()
         self.resolve, self.reset, self.limit, self.limit_bytes = resolve, reset, limit, limit_bytes
-        self.fresh: list = []
         self.held = 0
 
-    def __missing__(self, chunk):
-        n = self[chunk] = len(self)
-        self.fresh.append(chunk)
-        self.held += len(chunk)
-        return n
-
-    def numbers(self, parts: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all chunks of all texts in a row, and how many each text has."""
+    def distinct(self, chunks: list) -> np.ndarray:
+        """Numbers of chunks that are all different."""
         if len(self) > self.limit or self.held > self.limit_bytes:
             self.clear()
             self.held = 0
             self.reset()
+        known = list(map(self.get, chunks))
+        fresh = [c for c, n in zip(chunks, known) if n is None]
+        if fresh:
+            new = iter(range(len(self), len(self) + len(fresh)))
+            known = [next(new) if n is None else n for n in known]
+            self.update(zip(fresh, range(len(self), len(self) + len(fresh))))
+            self.held += sum(map(len, fresh))
+            self.resolve(fresh)
+        return np.array(known, np.int64)
+
+    def of(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of all texts in a row, and how many each text has."""
+        found, index, counts = words(texts)
+        return self.distinct(found)[index], counts
+
+    def numbers(self, parts: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that are in chunks already."""
+        first: dict = {}
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        get = self.__getitem__
-        out = np.fromiter(map(get, chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        if self.fresh:
-            new, self.fresh = self.fresh, []
-            self.resolve(new)
-        return out, counts
+        index = np.fromiter((first.setdefault(c, len(first)) for c in chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        return self.distinct(list(first))[index], counts
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,20 +70,31 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def map_text(
-    df: DataFrame, key: list[str], text: str, schema: str, make: Callable[[], Callable[[list], list]], as_bytes: bool = False
-) -> DataFrame:
+def sized(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller Arrow batches, of so many rows and bytes of a text column (or of one longer text)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def map_text(df: DataFrame, key: list[str], text: str, schema: str, make: Callable[[], Callable], kind: str = "str") -> DataFrame:
     """Apply ``make()`` to the texts of each Arrow batch; null texts count as empty.
 
-    ``make()`` runs once a task and returns a function from a list of texts to one
-    Arrow array (or list) for each new column of ``schema``, in order. ``as_bytes``:
-    it gets the texts' UTF-8 bytes.
+    ``make()`` runs once a task and returns a function from texts to one
+    Arrow array (or list) for each new column of ``schema``, in order. It gets the texts as
+    a list of ``str`` or of UTF-8 ``bytes``, or as an ``arrow`` array, by ``kind``.
     """
     spark = df.sparkSession
     kept = [F.col(f"`{c}`") for c in key]
     out = df.select(*kept, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
     full = spark.createDataFrame([], schema).schema
-    fields = [*out.schema.fields[:-1], *full.fields]
+    fields_before = out.schema.fields[:-1]
+    fields = [*fields_before, *full.fields]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -89,10 +102,8 @@ def map_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in slices(batches):
-            texts = b.column(b.num_columns - 1)
-            texts = (texts.cast(pa.binary()) if as_bytes else texts).to_pylist()
-            new = f(texts)
+        for b in sized(batches, len(fields_before)) if kind == "arrow" else slices(batches):
+            new = f(_texts(b.column(len(fields_before)), kind))
             columns = [*b.columns[:-1], *new]
             yield pa.RecordBatch.from_arrays(
                 [c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, arrow)],
@@ -102,14 +113,19 @@ def map_text(
     return out.mapInArrow(run, StructType(fields))
 
 
-def filter_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+def _texts(column: pa.Array, kind: str):
+    if kind == "arrow":
+        return column
+    return (column.cast(pa.binary()) if kind == "bytes" else column).to_pylist()
+
+
+def filter_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.StringArray], np.ndarray]]) -> DataFrame:
     """The rows whose texts ``make()`` (once a task) keeps; null texts count as empty. All columns pass through."""
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
-        for b in slices(batches):
-            texts = b.column(at).cast(pa.binary()).to_pylist()
-            yield b.filter(pa.array(keep([t or b"" for t in texts]), pa.bool_()))
+        for b in sized(batches, at):
+            yield b.filter(pa.array(keep(pc.fill_null(b.column(at), "")), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -25,6 +25,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -249,6 +250,18 @@ class Transducer:
         return n + (self.finish(s) if end is None else end)
 
 
+class Counts(dict):
+    """Piece -> number of tokens, worked out when first asked for."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = self.count(piece.encode())
+        return n
+
+
 class TokenCounter:
     """Counts tokens of whole texts as the tokenizer file at ``path`` gives them."""
 
@@ -270,7 +283,7 @@ class TokenCounter:
         self.memo = ChunkMemo(self.resolve, self.reset)
 
     def reset(self) -> None:
-        self.tokens = np.empty(0, np.int32)
+        self.tokens, self.pieces = np.empty(0, np.int32), Counts(self.machine.count)
 
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -284,14 +297,14 @@ class TokenCounter:
         if self.special and "<" in text:
             n += len(self.special.findall(text))
             parts = self.special.split(text)
-        return n + sum(self.machine.count(p.encode()) for part in parts for p in self.find(self.normal(part)))
+        return n + sum(map(self.pieces.__getitem__, (p for part in parts for p in self.find(self.normal(part)))))
 
     def resolve(self, chunks: list[bytes]) -> None:
         new = np.fromiter((self.chunk(c.decode()) for c in chunks), np.int32, len(chunks))
         self.tokens = np.concatenate((self.tokens, new))
 
-    def counts(self, texts: list[bytes]) -> np.ndarray:
-        numbers, per_text = self.memo.numbers([t.split() for t in texts])
+    def counts(self, texts: pa.StringArray) -> np.ndarray:
+        numbers, per_text = self.memo.of(texts)
         return sums(self.tokens[numbers].astype(np.int64), per_text)
 
 
@@ -304,6 +317,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, key: list[str], text: str
 
     def make():
         counter = _counter(tokenizer_path)
-        return lambda texts: [pa.array([len(t) for t in texts], pa.int64()), pa.array(counter.counts(texts), pa.int64())]
+        return lambda texts: [pc.binary_length(texts).cast(pa.int64()), pa.array(counter.counts(texts), pa.int64())]
 
-    return map_text(docs, key, text, f"n_bytes long, {out} long", make, as_bytes=True)
+    return map_text(docs, key, text, f"n_bytes long, {out} long", make, "arrow")

@@ -9,8 +9,10 @@ range of ids is found through the block offsets and unpacked with numpy.
 
 Every task writes the file of its range of document ids under a temporary name and
 renames it when whole: a repeated task replaces it with the same bytes. Null texts
-count as empty, so a document always has its end id. Documents of one id keep their
-texts' order. An empty table gives no files and no rows.
+count as empty, so a document always has its end id. Documents of one id are in the
+order of their texts. Documents without an id come first; the files hold the least int64
+for theirs, which reading gives back as null. An empty table gives no files and no rows.
+Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.chunks import ChunkMemo, Ragged, flat
-from seqloom.llm.common import kept, scratch, slices
+from seqloom.llm.chunks import ChunkMemo, Ragged, flat, sums
+from seqloom.llm.common import kept, scratch, sized
 
 MAGIC = b"SQLMIDS1"
 BLOCK = 8192
+#: Stands for a document's missing id.
+NO_ID = -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -112,12 +117,38 @@ class Reader:
         return unpack(data, ids, self.bits)[start - first * BLOCK : stop - first * BLOCK]
 
 
+#: Signs that, at the end of a word after a letter or digit, are a piece of their own to the tokenizer.
+_SIGNS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+#: Stands between pieces that are encoded in one call; the library gives it an id of its own.
+_BETWEEN = "<|startoftext|>"
+
+
+def pieces(words: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Parts of words that the tokenizer treats apart, in a row, and how many each word has; the parts' ids are the words'."""
+    plain = pc.invert(pc.match_substring(words, "<|"))  # others may hold a special string
+    lower = pc.if_else(pc.and_(plain, pc.string_is_ascii(words)), pc.ascii_lower(words), words)  # the library's next step
+    core = pc.ascii_rtrim(lower, characters=_SIGNS)
+    cut = pc.and_(pc.and_(plain, pc.less(pc.binary_length(core), pc.binary_length(lower))), pc.match_substring_regex(core, "[0-9A-Za-z]$"))
+    core = pc.if_else(cut, core, lower)
+    # Both parts' bytes are the word's: only offsets are added.
+    counts = 1 + cut.to_numpy(zero_copy_only=False).astype(np.int64)
+    last = np.cumsum(counts) - 1
+    size = np.zeros(int(counts.sum()), np.int32)
+    whole, own = (pc.binary_length(x).to_numpy() for x in (lower, core))
+    size[last - counts + 1] = own
+    size[last[counts == 2]] = (whole - own)[counts == 2]
+    lower = pa.concat_arrays([lower])
+    start = np.frombuffer(lower.buffers()[1], np.int32, len(lower) + 1, 4 * lower.offset)[0] if len(lower) else 0
+    ends = np.concatenate(([start], start + np.cumsum(size))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), lower.buffers()[2]), counts
+
+
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library.
 
     No token of this kind of tokenizer reaches over ASCII white space, which it drops,
     and nothing it does to a word depends on the words around it; so each distinct
-    word of a batch is encoded by the library once.
+    piece of a word of a batch is encoded by the library once.
     """
 
     def __init__(self, path: str):
@@ -125,22 +156,43 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.between = self.tokenizer.token_to_id(_BETWEEN)
         self.reset()
-        self.memo = ChunkMemo(self.resolve, self.reset, limit=1_200_000)
+        self.memo = ChunkMemo(self.resolve, self.reset, limit=900_000)
 
     def reset(self) -> None:
         self.rows = Ragged()
+        self.parts = Ragged()
+        self.piece = ChunkMemo(self.spell, lambda: None, limit=1 << 62, limit_bytes=1 << 62)  # emptied with the words
+
+    def spell(self, new: list[bytes]) -> None:
+        """Encode pieces, many in one call, with a special string between them."""
+        for at in range(0, len(new), 16_384):
+            some = [p.decode() for p in new[at : at + 16_384]]
+            own = {n: self.ids(p) for n, p in enumerate(some) if "<|" in p or self.between is None}
+            ids = np.array(self.ids(_BETWEEN.join("" if n in own else p for n, p in enumerate(some))) if self.between else [], np.int32)
+            gap = ids == self.between
+            counts = np.diff(np.flatnonzero(np.concatenate(([True], gap, [True])))) - 1 if self.between else np.zeros(len(some), np.int64)
+            ids = ids[~gap]
+            if own:
+                starts = np.cumsum(counts) - counts
+                ids = np.insert(ids, np.repeat(starts[list(own)], [len(x) for x in own.values()]), [i for x in own.values() for i in x])
+                counts[list(own)] = [len(x) for x in own.values()]
+            self.parts.extend(ids, counts)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def resolve(self, chunks: list[bytes]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = [c.decode() for c in chunks[at : at + 20_000]]
-            self.rows.extend(*flat(e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        found, counts = pieces(pa.array(chunks, pa.binary()).cast(pa.string()))
+        found = found.dictionary_encode()
+        numbers = self.piece.distinct(found.dictionary.cast(pa.binary()).to_pylist())[found.indices.to_numpy()]
+        self.rows.extend(self.parts.gather(numbers), sums(self.parts.count[numbers].astype(np.int64), counts))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        numbers, counts = self.memo.numbers([t.split() for t in texts])
-        ends = np.concatenate(([0], np.cumsum(self.rows.count[numbers].astype(np.int64))))
-        at = np.concatenate(([0], np.cumsum(counts)))
-        return self.rows.gather(numbers), np.diff(ends[at])
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has."""
+        numbers, counts = self.memo.of(texts)
+        return self.rows.gather(numbers), sums(self.rows.count[numbers].astype(np.int64), counts)
 
 
 def _encoder(path: str) -> LibraryEncoder:
@@ -162,13 +214,13 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, encoder = None, _encoder(tokenizer_path)
         part = TaskContext.get().partitionId()
-        for b in (s for batch in batches for s in slices([batch])):
+        for b in sized(batches, 1):
             if writer is None:
                 store, root = _open(folder)
                 store.create_dir(root, recursive=True)
                 temporary = f"{root}/.{uuid.uuid4().hex}"
                 writer = Writer(store.open_output_stream(temporary), bits_for(max(encoder.vocabulary, end_id + 1)))
-            ids, counts = encoder.encode(b.column(1).cast(pa.binary()).to_pylist())
+            ids, counts = encoder.encode(b.column(1))
             ends = np.cumsum(counts)
             writer.add(b.column(0).to_pylist(), counts + 1, np.insert(ids.astype(np.int64), ends, end_id))
         if writer is not None:
@@ -179,8 +231,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, ke
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "ids": [writer.total], "docs": [sum(map(len, writer.docs))]})
 
     rows = (
-        docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-        .where("key is not null")
+        docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
         .repartitionByRange("key")
         .sortWithinPartitions("key", "text")
         .mapInArrow(run, schema)
@@ -207,7 +258,7 @@ def read_ids(spark: SparkSession, folder: str, files: list[tuple], key: str = "d
                         first = int(e[0] - n[0])
                         raw = memoryview(r.ids(first, int(e[-1])).astype("<u4").tobytes())
                         crc = [zlib.crc32(raw[4 * (a - first) : 4 * (z - first)]) for a, z in zip((e - n).tolist(), e.tolist())]
-                        yield pa.RecordBatch.from_pydict({key: d, "start": start + e - n, "n_tokens": n, "ids_crc32": pa.array(crc, pa.int64())})
+                        yield pa.RecordBatch.from_pydict({key: pa.array(d, mask=d == NO_ID), "start": start + e - n, "n_tokens": n, "ids_crc32": pa.array(crc, pa.int64())})
 
     return listed.repartition(max(1, len(files))).mapInArrow(run, schema)
 

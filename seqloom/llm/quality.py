@@ -99,9 +99,9 @@ class Features:
         e = self.ends[:, numbers]
         return mix(e[2, :-1], e[0, 1:]), mix(e[3, :-1], e[1, 1:]), numbers[:-1] == numbers[1:]
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """A text's buckets and their values."""
-        numbers, _ = self.memo.numbers([text.split()])
+        numbers, _ = self.memo.of(pa.array([text], pa.string()))
         parts = [self.inner.gather(numbers)]
         if len(numbers) > 1:
             tokens, shapes, same = self.between(numbers)
@@ -109,9 +109,9 @@ class Features:
         buckets, n = np.unique(np.concatenate(parts), return_counts=True)
         return buckets, n * (SCALE / max(1, n.sum()))
 
-    def dots(self, texts: list[bytes]) -> np.ndarray:
+    def dots(self, texts: pa.StringArray) -> np.ndarray:
         """The dot product of each text's values with the weights."""
-        numbers, counts = self.memo.numbers([t.split() for t in texts])
+        numbers, counts = self.memo.of(texts)
         total = sums(self.weight[numbers], counts)
         n = sums(self.inner.count[numbers].astype(np.int64), counts)
         if len(numbers) > 1:
@@ -133,7 +133,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray
     make = Features()
     data = []
     for text, label in rows:
-        at, value = make.of(text.encode())
+        at, value = make.of(text)
         data.append((np.append(at, BUCKETS).astype(np.int32), np.append(value, 1.0).astype(np.float32), label))
 
     def leader(at) -> np.ndarray:
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: list[str], text
         features, bias = load()
         return lambda texts: [pa.array(1 / (1 + np.exp(-np.clip(features.dots(texts) + bias, -35, 35))))]
 
-    return map_text(docs, key, text, f"{out} double", make, as_bytes=True)
+    return map_text(docs, key, text, f"{out} double", make, "arrow")
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:

@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, key: list[str], text: str = "text", width: int
 
         return run
 
-    return map_text(docs, key, text, f"{out} long", make, as_bytes=True)
+    return map_text(docs, key, text, f"{out} long", make, "bytes")
 
 
 def _emitted(df: DataFrame, make, schema: str) -> DataFrame:

@@ -84,16 +84,16 @@ class Words:
             else:
                 self.odds = np.concatenate((self.odds, sums(self.bucket_odds[found], counts) / counts))
 
-    def numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def numbered(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts in a row, without those that repeat the one before, and how many each text has."""
-        numbers, counts = self.memo.numbers([t.split() for t in texts])
+        numbers, counts = self.memo.of(texts)
         kept = np.ones(len(numbers), bool)
         kept[1:] = numbers[1:] != numbers[:-1]
         begins = np.cumsum(counts) - counts
         kept[begins[counts > 0]] = True
         return numbers[kept], sums(kept.astype(np.int64), counts)
 
-    def highest(self, texts: list[bytes]) -> np.ndarray:
+    def highest(self, texts: pa.StringArray) -> np.ndarray:
         """Each text's highest sum of word odds in a window."""
         numbers, counts = self.numbered(texts)
         run = np.concatenate(([0.0], np.cumsum(self.odds[numbers])))
@@ -116,7 +116,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, folds: int = FOLDS)
     share = label.mean() if len(label) else 0.0
     if not 0 < share < 1:
         return np.zeros(BUCKETS), 0.0, 35.0 * (2 * share - 1)
-    sample = Sample([t.encode() for t, _ in rows], label)
+    sample = Sample(pa.array([t for t, _ in rows], pa.string()), label)
     fold = np.empty(len(label), np.int64)  # as many of each label in every fold
     for y in (0, 1):
         fold[label == y] = np.arange((label == y).sum()) % folds
@@ -135,7 +135,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, folds: int = FOLDS)
 class Sample:
     """Labelled texts as windows of numbered words."""
 
-    def __init__(self, texts: list[bytes], label: np.ndarray):
+    def __init__(self, texts: pa.StringArray, label: np.ndarray):
         words = Words()
         words.memo.limit = words.memo.limit_bytes = 1 << 62  # the sample is bounded
         self.label, self.numbers, counts = label, *words.numbered(texts)
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], key: list[str
         words, slope, intercept = load()
         return lambda texts: [pa.array(1 / (1 + np.exp(-np.clip(slope * words.highest(texts) + intercept, -35, 35))))]
 
-    return map_text(docs, key, text, f"{out} double", make, as_bytes=True)
+    return map_text(docs, key, text, f"{out} double", make, "arrow")
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float, float], text: str = "text") -> DataFrame:
