@@ -51,12 +51,12 @@ class Ragged:
 
 def words(texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words (between ASCII white space) of some texts, the words of all texts in a row as numbers of these, and how many each text has."""
-    split = pc.ascii_split_whitespace(texts)
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
     coded = split.flatten().dictionary_encode()
     index, counts = coded.indices.to_numpy().astype(np.int64), np.diff(split.offsets.to_numpy()).astype(np.int64)
     distinct = coded.dictionary.cast(pa.binary()).to_pylist()
     blank = pc.index(coded.dictionary, "").as_py()
-    if blank >= 0:  # at a text's ends
+    if blank >= 0:  # of a text without words
         kept = index != blank
         index, counts = index[kept], sums(kept.astype(np.int64), counts)
         index -= index > blank
@@ -101,6 +101,18 @@ class ChunkMemo(dict):
         return self.distinct(list(first))[index], counts
 
 
+def parts(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of the numbers below n that links (i, j) connect each with."""
+    part = np.arange(n)
+    while (part[i] != part[j]).any():
+        low = np.minimum(part[i], part[j])
+        np.minimum.at(part, part[i], low)
+        np.minimum.at(part, part[j], low)
+        while (part != part[part]).any():
+            part = part[part]
+    return part
+
+
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of each text's run of values; empty runs give 0."""
     total = np.concatenate(([0], np.cumsum(values)))

@@ -40,6 +40,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: set it to a folder that driver and executors share")
     if not base:  # a single machine, as in tests
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
         base = sc.getCheckpointDir()
@@ -53,6 +55,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

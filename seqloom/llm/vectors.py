@@ -9,11 +9,15 @@ of equal labels meet. A pair is verified in the first table and bucket that both
 
 Equal vectors of one label are one node with a count, so groups of copies need no pairs.
 Buckets with more than ``BLOCK`` vectors are cut into blocks and every pair of blocks is
-a task of its own: nothing is dropped, and no task holds more than two blocks.
+a task of its own: nothing is dropped, and no task holds more than two blocks. Pairs stay
+inside their task, which gives each vector's number of links there and links to the least
+vector that its pairs connect it with; no pair is written out.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows
 without a label, link with nothing: 0 links, a component of their own. Vectors of
-different lengths never link. Repeated rows count as vectors of their own.
+different lengths never link. Repeated rows count as vectors of their own. Rows without an
+id count as links of others but name no component unless all of it has none. An empty table
+gives an empty result; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.llm.chunks import parts
 from seqloom.llm.common import slices, stored
 from seqloom.operators.components import connected_components
 
@@ -98,8 +103,11 @@ def nodes(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[DataFr
     return groups, members
 
 
-def near_pairs(groups: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of nodes of one label whose cosine is at least ``least``."""
+def near_links(groups: DataFrame, least: float) -> DataFrame:
+    """(node, linked, to) rows of nodes of one label and pairs whose cosine is at least ``least``.
+
+    ``linked`` adds up to the rows that a node's pairs stand for; ``to`` connects all that pairs connect.
+    """
     width = F.size("v")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +121,7 @@ def near_pairs(groups: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, found)], ["node", "buckets"])
 
     marked = groups.select("node", "v").mapInArrow(hashed, "node long, buckets array<long>")
-    kept = stored(groups.select("node", "label", "v", width.alias("width")).join(marked, "node"), "vector-buckets")
+    kept = stored(groups.select("node", "label", "copies", "v", width.alias("width")).join(marked, "node"), "vector-buckets")
     entries = kept.select("node", "label", "width", F.explode("buckets").alias("bucket")).distinct()
     place = ["label", "width", "bucket"]
     full = entries.groupBy(place).count().where("count > 1")
@@ -126,14 +134,14 @@ def near_pairs(groups: DataFrame, least: float) -> DataFrame:
     spread = entries.select("node", *place, "block", other.alias("other"))
     spread = spread.select("node", *place, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     task = [*place, "lo", "hi"]
-    dealt = spread.join(kept.select("node", "v", "buckets"), "node").repartition(*task).sortWithinPartitions(*task, "node")
+    dealt = spread.join(kept.select("node", "copies", "v", "buckets"), "node").repartition(*task).sortWithinPartitions(*task, "node")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def pairs(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
-            node, block = t["node"].to_numpy(), t["block"].to_numpy()
+            node, block, copies = (t[c].to_numpy() for c in ("node", "block", "copies"))
             x = _matrix(t["v"].chunk(0))
             x /= np.sqrt((x * x).sum(1))[:, None]
             all_buckets = t["buckets"].chunk(0).flatten().to_numpy().reshape(len(x), -1)
@@ -157,9 +165,13 @@ def near_pairs(groups: DataFrame, least: float) -> DataFrame:
                 shared = (all_buckets[i][:, :, None] == all_buckets[j][:, None, :]).any(2)
                 first = np.take_along_axis(all_buckets[i], shared.argmax(1)[:, None], 1)[:, 0] if len(i) else np.empty(0, np.int64)
                 mine = first == keys[s, 2]
-                found.append((node[i[mine]], node[j[mine]]))
-            a, b = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+                found.append((i[mine], j[mine]))
+            i, j = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+            linked = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
+            ids, row = np.unique(node, return_inverse=True)  # a node may be in several of the tasks
+            linked, to = np.bincount(row, linked), parts(len(ids), row[i], row[j])
+            some = np.flatnonzero(linked)
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(linked[some].astype(np.int64)), pa.array(ids[to[some]])], ["node", "linked", "to"])
 
         for batch in batches:  # a task's rows may run on into the next batch
             t = pa.Table.from_batches([batch])
@@ -174,19 +186,17 @@ def near_pairs(groups: DataFrame, least: float) -> DataFrame:
         if held is not None and held.num_rows:
             yield pairs(held)
 
-    columns = ["node", *place, "block", "lo", "hi", "v", "buckets"]
-    return dealt.select(columns).mapInArrow(verified, "a long, b long")
+    columns = ["node", "copies", *place, "block", "lo", "hi", "v", "buckets"]
+    return dealt.select(columns).mapInArrow(verified, "node long, linked long, to long")
 
 
 def near_vectors(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``key``, ``n_links``, ``component_id`` and ``kept`` of every row."""
     groups, members = nodes(vectors, key, vector, label)
-    pairs = stored(near_pairs(groups, least), "vector-pairs")
-    copies = groups.select("node", "copies")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("linked"))
-    parts = connected_components(pairs)
-    known = copies.join(links, "node", "left").join(parts, "node", "left").select(
+    found = stored(near_links(groups, least), "vector-links")
+    linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))
+    reached = connected_components(found, "node", "to")
+    known = groups.select("node", "copies").join(linked, "node", "left").join(reached, "node", "left").select(
         "node",
         (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
         F.coalesce("component", "node").alias("component_id"),
