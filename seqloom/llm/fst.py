@@ -11,11 +11,14 @@ end of a piece is one more transition.
 
 ASCII white space ends every piece, so the state map of a chunk between white space
 sends each state to the start with a fixed count: chunks compose by a prefix sum. A long
-chunk is cut into blocks; each block's run from the start state is its map, which
-any other entry state joins within a few bytes, and the maps compose left to right.
-Special strings count one and end the piece before them, as in the library.
-
-Null texts count as empty: zero tokens.
+piece is cut into blocks, whose state maps compose pairwise in a tree: a map is worked out
+from the start state, and from another entry state when a composition asks for it, which joins
+the run from the start within some bytes. Special strings count one and end the piece before
+them, as in the library.
+
+Null texts count as empty: zero tokens. Repeated rows and ids are counted alike; an empty table
+gives an empty one. Columns that aren't named are left out; a ``key`` column may not be called
+as an output column is.
 """
 
 from __future__ import annotations
@@ -213,43 +216,66 @@ class Transducer:
             total += gain
         return s, total
 
-    def block_map(self, data: bytes) -> tuple[list[int], list[int]]:
-        """A block's run from the start: the state before each byte and after the last, and the tokens so far."""
-        states, counts, s, n = [self.start], [0], self.start, 0
-        for b in data:
-            s, gain = self.next[s].get(b) or self.step(s, b)
-            n += gain
-            states.append(s)
-            counts.append(n)
-        return states, counts
-
-    def through(self, s: int, data: bytes, block: tuple[list[int], list[int]]) -> tuple[int, int]:
-        """A block's map at entry state s: its exit state and tokens. Once the runs meet, the rest is the block's own."""
-        states, counts = block
-        n = 0
-        for i, b in enumerate(data):
-            if s == states[i]:
-                return states[-1], n + counts[-1] - counts[i]
-            s, gain = self.next[s].get(b) or self.step(s, b)
-            n += gain
-        return s, n
-
     def count(self, piece: bytes) -> int:
         if len(self.keys) > self.limit:
             self.forget()
         if len(piece) <= 2 * BLOCK:
             s, n = self.run(self.start, piece)
         else:
-            blocks = [piece[i : i + BLOCK] for i in range(0, len(piece), BLOCK)]
-            maps = [self.block_map(b) for b in blocks]
-            s, n = self.start, 0
-            for data, m in zip(blocks, maps):
-                s, more = self.through(s, data, m)
-                n += more
+            s, n = composed([BlockMap(self, piece[i : i + BLOCK]) for i in range(0, len(piece), BLOCK)]).at(self.start)
         end = self.end[s]
         return n + (self.finish(s) if end is None else end)
 
 
+class BlockMap:
+    """The state map of a block: exit state and tokens for each entry state.
+
+    The run from the start state is kept whole; another entry state's run joins it within some bytes.
+    """
+
+    def __init__(self, machine: Transducer, data: bytes):
+        self.machine, self.data = machine, data
+        self.states, self.counts, s, n = [machine.start], [0], machine.start, 0
+        for b in data:
+            s, gain = machine.next[s].get(b) or machine.step(s, b)
+            n += gain
+            self.states.append(s)
+            self.counts.append(n)
+
+    def at(self, s: int) -> tuple[int, int]:
+        n = 0
+        for i, b in enumerate(self.data):
+            if s == self.states[i]:
+                return self.states[-1], n + self.counts[-1] - self.counts[i]
+            s, gain = self.machine.next[s].get(b) or self.machine.step(s, b)
+            n += gain
+        return s, n
+
+
+class Composed:
+    """The map of two neighbouring parts of a piece, worked out for the entry states that are asked for."""
+
+    def __init__(self, left: BlockMap | Composed, right: BlockMap | Composed, start: int):
+        self.left, self.right, self.known = left, right, {}
+        self.at(start)
+
+    def at(self, s: int) -> tuple[int, int]:
+        if s not in self.known:
+            middle, n = self.left.at(s)
+            end, more = self.right.at(middle)
+            self.known[s] = end, n + more
+        return self.known[s]
+
+
+def composed(maps: list[BlockMap]) -> BlockMap | Composed:
+    """One map of all blocks: neighbours are composed, then neighbouring pairs, and so on, as in a parallel prefix scan."""
+    start = maps[0].machine.start
+    while len(maps) > 1:
+        pairs = [Composed(a, b, start) for a, b in zip(maps[::2], maps[1::2])]
+        maps = pairs + maps[2 * len(pairs) :]
+    return maps[0]
+
+
 class Counts(dict):
     """Piece -> number of tokens, worked out when first asked for."""
 
