@@ -17,9 +17,11 @@ similarity of shingles, repeats counted.
 3. The exact similarity of each pair that meets is worked out from the shingles.
 
 Null and blank documents and items have no words: they leak and match nothing. Documents
-of one id are told apart by their texts while windows are laid; the result has one row
-for each id and item. Repeated rows change nothing. The benchmark is broadcast only if its
-shingles are few; else it is joined by a shuffle.
+of one id are told apart by their texts; ``leaks`` has one row for each id (null is one, too) and
+item, ``decontaminated`` drops just the rows whose own text leaks. Repeated rows change nothing; an
+empty table of documents gives no rows, an empty benchmark drops none. Other columns pass
+through ``decontaminated``, whatever their names. The benchmark is broadcast only if its shingles
+are few; else it is joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import WORD_BREAK, stored
+from seqloom.llm.common import WORD_BREAK, free, stored
 
 WIDTH = 5
 LEAST = 0.8
@@ -96,38 +98,51 @@ def _blocks(fp: Column, variants: bool) -> Column:
     return F.explode(F.flatten(F.array(*map(entries, range(BLOCKS)))))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
-    """(key, item, similarity, start): each document's leaked items, the best window's similarity and first word."""
-    items = _words(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("t")), "t")
-    items = stored(items.select("item", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(WIDTH)).alias("width")), "items")
-    count = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    widths = [r.width for r in items.select("width").distinct().orderBy("width").collect()]  # WIDTH at most
-    if not widths:
-        return docs.select(F.col(key)).limit(0).select(key, F.lit(None).cast("long").alias(item), F.lit(0.0).alias("similarity"), F.lit(0).alias("start"))
+def _digest(text: str) -> Column:
+    """Names a text: rows of equal texts leak the same."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+
+def _dense(items: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(id, rid, item, n, width, start): windows of texts (id, rid, words) that hold enough of an item's shingles."""
     sides = items.select("item", "n", "width", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))).alias("i"), "words")
-    cut = _words(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "t").select("id", F.xxhash64("t").alias("rid"), "words")
+    count = items.agg(F.sum("n")).first()[0]
     # The common part of an item's shingles and a window's at the least similarity.
     whole = F.col("n") - F.col("width") + 1
     own = F.greatest(F.size("words") - F.col("width"), F.lit(0)) + 1
     need = F.ceil(F.lit(least / (1 + least)) * (whole + F.least(whole, own)) - F.lit(1e-9)).cast("int")
+    last = F.greatest(F.size("words") - F.col("n"), F.lit(0))
     found = None
-    for w in widths:
+    for w in [r.width for r in items.select("width").distinct().orderBy("width").collect()]:  # WIDTH at most
         code = lambda at: F.xxhash64(*(F.get("words", F.col(at) + k) for k in range(w)))  # noqa: E731, B023
         wanted = sides.where(F.col("width") == w).select("item", "n", "width", code("i").alias("code")).distinct()
-        places = cut.where(F.size("words") >= w).select("id", "rid", "words", F.explode(F.sequence(F.lit(0), F.size("words") - w)).alias("pos"))
+        places = texts.where(F.size("words") >= w).select("id", "rid", "words", F.explode(F.sequence(F.lit(0), F.size("words") - w)).alias("pos"))
         hits = places.withColumn("code", code("pos")).join(_small(wanted, count), "code")
-        start = F.least("pos", F.greatest(F.size("words") - F.col("n"), F.lit(0)))
-        hits = hits.select("id", "rid", "item", "n", "width", need.alias("need"), "pos", start.alias("start"), F.array_join(F.slice("words", start + 1, F.col("n")), " ").alias("window"))
+        hits = hits.select("id", "rid", "item", "n", "width", need.alias("need"), last.alias("last"), "pos")
         found = hits if found is None else found.unionByName(hits)
-    grouped = found.groupBy("id", "rid", "item", "n", "width", "need").agg(F.array_sort(F.collect_set(F.struct("pos", "start", "window"))).alias("hits"))
-    dense = F.filter(
-        "hits",
-        lambda h, i: F.coalesce(F.get(F.col("hits"), i + F.col("need") - 1)["pos"] - h["pos"] <= F.col("n") - F.col("width"), F.lit(False)),
-    )
-    laid = grouped.where(F.size("hits") >= F.col("need")).select("id", "n", "width", F.explode(dense).alias("h"))
-    laid = stored(laid.select("id", "n", "width", "h.start", "h.window").distinct(), "windows")
+    # Places are whole numbers, at most one a word of the text; the words stay behind.
+    grouped = found.groupBy("id", "rid", "item", "n", "width", "need", "last").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    close = F.filter("at", lambda p, i: F.coalesce(F.get(F.col("at"), i + F.col("need") - 1) - p <= F.col("n") - F.col("width"), F.lit(False)))
+    starts = F.array_distinct(F.transform(close, lambda p: F.least(p, F.col("last"))))
+    return grouped.where(F.size("at") >= F.col("need")).select("id", "rid", "item", "n", "width", F.explode(starts).alias("start"))
+
+
+def _leaking(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, least: float) -> DataFrame:
+    """(id, rid, item, b): each text's leaked items, with the best window's similarity (less than 0) and start."""
+    items = _words(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("t")), "t")
+    items = stored(items.select("item", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(WIDTH)).alias("width")), "items")
+    named = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), _digest(text).alias("rid"))
+    if items.isEmpty():
+        return named.limit(0).select("id", "rid", F.lit(None).cast(benchmark.schema[item].dataType).alias("item"), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("start")).alias("b"))
+    count = items.agg(F.sum("n")).first()[0]
+    laid = stored(_dense(items, _words(named, "t").select("id", "rid", "words"), least), "dense")
+    # The words of windows, from the texts again: of those that have any.
+    wanted = laid.select("rid", "n", "width", "start").distinct()
+    own = _words(named.select("rid", "t").join(_small(wanted, wanted.count()), "rid"), "t")
+    own = own.select("rid", "n", "width", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ").alias("window")).distinct()
+    own = stored(own, "windows")
     # Equal windows are fingerprinted once.
-    windows = laid.select("n", "width", "window").distinct().withColumn("shingles", _shingles(F.split("window", " "), F.col("width")))
+    windows = own.select("n", "width", "window").distinct().withColumn("shingles", _shingles(F.split("window", " "), F.col("width")))
     windows = stored(windows.withColumn("fp", _fingerprint(F.col("shingles"))), "window-fps")
     targets = items.withColumn("shingles", _shingles(F.col("words"), F.col("width")))
     targets = stored(targets.select("item", "n", "shingles", _fingerprint(F.col("shingles")).alias("fp")), "item-fps")
@@ -140,12 +155,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         _small(targets.select("item", F.col("shingles").alias("wanted")), count), "item"
     )
     true = pairs.withColumn("similarity", _similarity(F.col("shingles"), F.col("wanted"))).where(F.col("similarity") >= least)
-    best = laid.join(true.select("n", "window", "item", "similarity"), ["n", "window"]).groupBy("id", "item")
-    best = best.agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"))).alias("b"))
+    placed = own.join(true.select("n", "window", "item", "similarity"), ["n", "window"]).select("rid", "n", "start", "item", "similarity")
+    best = laid.select("id", "rid", "n", "start").distinct().join(placed, ["rid", "n", "start"]).groupBy("id", "rid", "item")
+    return best.agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"))).alias("b"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
+    """(key, item, similarity, start): each document's leaked items, the best window's similarity and first word."""
+    best = _leaking(docs, benchmark, key, text, item, item_text, least).groupBy("id", "item").agg(F.min("b").alias("b"))
     return best.select(F.col("id").alias(key), F.col("item").alias(item), (-F.col("b.s")).alias("similarity"), F.col("b.start").alias("start"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that leak no item."""
-    found = leaks(docs, benchmark, key, text).select(key).distinct()
-    return docs.join(found, key, "left_anti").select(docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows whose text leaks no item."""
+    rid = free(docs, "rid")
+    lost = stored(_leaking(docs, benchmark, key, text, item, item_text, LEAST).select(F.col("rid").alias(rid)).distinct(), "leaking")
+    return docs.withColumn(rid, _digest(text)).join(_small(lost, lost.count()), rid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
