@@ -4,11 +4,12 @@ Tokens are words (bytes other than ASCII white space, A-Z lower-cased) and one e
 document. A text becomes the bytes of its words, a stop after each, and an end symbol.
 The model predicts these one by one from a trie of byte contexts of up to ``ORDER``
 bytes, over words too. A symbol that the longest known context has not seen escapes to
-the next shorter one, with the probability of as many further symbols as the context
-has distinct ones (method C); symbols that the longer context holds are excluded there;
-below the empty context all other symbols are equally likely. Every context's
-symbols are also its shorter contexts', so exclusion takes from a context's totals
-just the longer one's symbols: numbers that each node of the trie keeps.
+the next shorter one: each distinct symbol of a context gives half of its first count to the
+escape (method D). Shorter contexts count a symbol once for each context one byte longer that it
+was seen in, as only what a longer context hasn't seen ever asks them. Symbols that the longer
+context holds are excluded there; below the empty context all other symbols are equally
+likely. Every context's symbols are also its shorter contexts', so exclusion takes from a
+context's totals just the longer one's symbols: numbers that each node of the trie keeps.
 
 What is gathered from the corpus: the counts of all distinct words, for the base score
 (add-one-half unigrams), and of all of the trie's longest paths. A trie of at most ``PATHS``
@@ -17,9 +18,10 @@ frequent paths, at most ``PATHS``, and pass on the other paths of each row, whos
 come from joins with the levels of the trie; the scores are the same. Words that occur most - at most ``HOT`` - are looked up where the texts are
 read; all others are joined by a shuffle, in which therefore no key is hot.
 
-Null texts count as empty: just the end. Repeated rows are rows of their own. With no
-training rows every count is 0, the base score is log10(1) a token and all symbols are
-equally likely.
+Null texts count as empty: just the end. Repeated rows are rows of their own, and so are rows
+without an id; a null ``train`` is no training row. With no training rows every count is 0, the
+base score is log10(1) a token and all symbols are equally likely. An empty table gives an empty
+result; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.chunks import sums
-from seqloom.llm.common import kept, slices, stored
+from seqloom.llm.chunks import sums, words
+from seqloom.llm.common import kept, sized, stored
 
 ORDER = 5
 PATHS = 3_000_000
@@ -45,6 +48,8 @@ FLUSH = 250_000
 #: Bytes that no word has: what stands before a text, after a word, and at the end.
 BEGIN, STOP, END = 0x0A, 0x20, 0x0B
 SYMBOLS = 258
+#: What a frequent word's entry is for other words: known, base score, whether it is frequent.
+_RARE = 0, 0.0, False
 #: Bytes of texts worked on at a time.
 PIECE = 1 << 20
 
@@ -62,6 +67,13 @@ def stream(words: list[bytes], order: int) -> bytes:
     return b"".join((bytes([BEGIN]) * order, b" ".join(words), b" " if words else b"", END_TOKEN))
 
 
+def streams(texts: pa.StringArray, order: int) -> list[bytes]:
+    """All texts as the model reads them."""
+    joined = pc.binary_join(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts))), " ").cast(pa.binary()).to_pylist()
+    begin, end = bytes([BEGIN]) * order, bytes([STOP, END])
+    return [begin + t + end if t else begin + END_TOKEN for t in joined]
+
+
 def path_codes(streams: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Context and symbol at each predicted place of all streams, as numbers, and how many places each has."""
     data = np.frombuffer(b"".join(streams), np.uint8)
@@ -77,19 +89,6 @@ def path_codes(streams: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray
     return code[inside], sizes - order
 
 
-def pieces(texts: list, size=len):
-    """Runs of texts of about ``PIECE`` bytes."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += size(t)
-        if n >= PIECE:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def _totals(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, their sums and how many rows each had."""
     order = np.argsort(key, kind="stable")
@@ -141,13 +140,14 @@ class Ppm:
         self.paths, self.counts, self.contexts = [None] * (order + 1), [None] * (order + 1), [None] * (order + 1)
         total, kinds = [None] * (order + 1), [None] * (order + 1)
         for k in range(order, -1, -1):
-            codes, counts, _ = _totals(codes & ((1 << 8 * (k + 1)) - 1), counts)
+            codes, summed, longer = _totals(codes & ((1 << 8 * (k + 1)) - 1), counts)
+            counts = summed if k == order else longer
             self.paths[k], self.counts[k] = codes, counts
             self.contexts[k], total[k], kinds[k] = _totals(codes >> 8, counts)
         own = np.searchsorted(self.contexts[order], self.paths[order] >> 8)
-        top = np.log10(self.counts[order] / (total[order] + kinds[order])[own]) if len(own) else np.empty(0)
+        top = np.log10((2 * self.counts[order] - 1) / (2 * total[order])[own]) if len(own) else np.empty(0)
         self.top = Table(self.paths[order], top)
-        self.leave = [np.log10(d / (t + d)) for t, d in zip(total, kinds)]  # escape from a context met first
+        self.leave = [np.log10(d / (2 * t)) for t, d in zip(total, kinds)]  # escape from a context met first
         self.whole, self.on = [None] * (order + 1), [None] * (order + 1)  # one level below it: log of the total, escape
         for k in range(1, order + 1):
             shorter = np.searchsorted(self.paths[k - 1], self.paths[k] & ((1 << 8 * k) - 1))
@@ -156,8 +156,8 @@ class Ppm:
             below = np.searchsorted(self.contexts[k - 1], self.contexts[k] & ((1 << 8 * (k - 1)) - 1))
             t, d = total[k - 1][below] - excluded, kinds[k - 1][below] - kinds[k]
             with np.errstate(divide="ignore", invalid="ignore"):
-                self.whole[k] = np.log10(t + d)
-                self.on[k] = np.where(d > 0, np.log10(d / (t + d)), 0.0)
+                self.whole[k] = np.log10(2 * t)
+                self.on[k] = np.where(d > 0, np.log10(d / (2 * t)), 0.0)
         self.rest = float(np.log10(max(1, SYMBOLS - len(self.paths[0]))))
         self.paths[order] = self.counts[order] = np.empty(0, np.int64)  # the table has them
 
@@ -180,12 +180,12 @@ class Ppm:
             if k < self.order:
                 a = above[i]
                 hit = i[seen & started]
-                out[hit] += np.log10(self.counts[k][at[seen & started]]) - self.whole[k + 1][a[seen & started]]
+                out[hit] += np.log10(2 * self.counts[k][at[seen & started]] - 1) - self.whole[k + 1][a[seen & started]]
                 out[i[~seen & started]] += self.on[k + 1][a[~seen & started]]
             fresh = seen & ~started
             if fresh.any():  # the first context known has the symbol
                 c = self.counts[k][at[fresh]]
-                out[i[fresh]] += np.log10(c) - self._size(k, context[fresh])
+                out[i[fresh]] += np.log10(2 * c - 1) - self._size(k, context[fresh])
             begin = known & ~seen & ~started
             out[i[begin]] += self.leave[k][context[begin]]
             above[i] = np.where(known, context, above[i])
@@ -195,8 +195,7 @@ class Ppm:
 
     def _size(self, k: int, context: np.ndarray) -> np.ndarray:
         first = np.searchsorted(self.paths[k] >> 8, self.contexts[k])
-        total = np.add.reduceat(self.counts[k], first)
-        return np.log10(total[context] + np.diff(np.append(first, len(self.paths[k])))[context])
+        return np.log10(2 * np.add.reduceat(self.counts[k], first)[context])
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         out = self.top.get(codes)
@@ -206,9 +205,9 @@ class Ppm:
             out[new] = self.escaped(distinct)[back]
         return out
 
-    def score(self, bags: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text."""
-        codes, n = path_codes([stream(w, self.order) for w in bags], self.order)
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each text's stream."""
+        codes, n = path_codes(texts, self.order)
         return sums(self.logs(codes), n)
 
 
@@ -216,24 +215,28 @@ def vocabulary(docs: DataFrame, train: Column, text: str = "text") -> DataFrame:
     """(word, c, n): counts of each distinct token in training texts and in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt, other = Counter(), Counter()
+        learnt, whole = Counter(), Counter()
 
         def out():
-            keys = list(learnt.keys() | other.keys())
+            keys = list(whole)
             for at in range(0, len(keys), 20_000):
                 part = keys[at : at + 20_000]
-                c = np.fromiter((learnt[k] for k in part), np.int64, len(part))
-                n = c + np.fromiter((other[k] for k in part), np.int64, len(part))
+                c, n = (np.fromiter((x[k] for k in part), np.int64, len(part)) for x in (learnt, whole))
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(c), pa.array(n)], ["word", "c", "n"])
             learnt.clear()
-            other.clear()
-
-        for b in slices(batches, 2048):
-            for t, learn in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
-                w = tokens(t)
-                w.append(END_TOKEN)
-                (learnt if learn else other).update(w)
-            if len(learnt) + len(other) > FLUSH:
+            whole.clear()
+
+        for b in sized(batches, 0):
+            learn = b.column(1).to_numpy(zero_copy_only=False)
+            found, index, counts = words(pc.ascii_lower(b.column(0)))
+            for k, n in zip(found, np.bincount(index, minlength=len(found)).tolist()):
+                whole[k] += n
+            own = np.bincount(index[np.repeat(learn, counts)], minlength=len(found))
+            for k in np.flatnonzero(own).tolist():
+                learnt[found[k]] += int(own[k])
+            whole[END_TOKEN] += b.num_rows
+            learnt[END_TOKEN] += int(learn.sum())
+            if len(whole) > FLUSH:
                 yield from out()
         yield from out()
 
@@ -260,14 +263,13 @@ def trie(docs: DataFrame, train: Column, order: int, text: str = "text") -> Data
             for at in range(0, len(codes), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + 50_000]), pa.array(counts[at : at + 50_000])], ["path", "n"])
 
-        for b in slices(batches, 2048):
-            for part in pieces(b.column(0).cast(pa.binary()).to_pylist()):
-                codes, _ = path_codes([stream(tokens(t), order) for t in part], order)
-                held.append(np.unique(codes, return_counts=True))
-                if len(held) > 8:
-                    fold()
-                    if len(held[0][0]) > 4 * FLUSH:
-                        yield from out()
+        for b in sized(batches, 0, size=PIECE):
+            codes, _ = path_codes(streams(b.column(0), order), order)
+            held.append(np.unique(codes, return_counts=True))
+            if len(held) > 8:
+                fold()
+                if len(held[0][0]) > 4 * FLUSH:
+                    yield from out()
         if held:
             yield from out()
 
@@ -280,9 +282,9 @@ class Frequent:
     def __init__(self, codes: np.ndarray, logs: np.ndarray):
         self.table = Table(codes, logs)
 
-    def score(self, bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The known paths' part of each text's score; text, path and times of the others."""
-        codes, n = path_codes([stream(w, ORDER) for w in bags], ORDER)
+        codes, n = path_codes(texts, ORDER)
         out = self.table.get(codes)
         gone = np.isnan(out)
         out[gone] = 0.0
@@ -293,24 +295,25 @@ class Frequent:
 
 def levels(counted: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
     """Of each level of the trie, (path, c) and of its contexts (x, t, d, whole, on): see ``Ppm``. Low levels are broadcast: their keys are few."""
-    paths, contexts = [], []
-    for k in range(order + 1):
-        own = stored(counted.groupBy(_tail("path", k + 1).alias("path")).agg(F.sum("n").alias("c")), f"ppm-level{k}")
+    paths = [counted.select("path", F.col("n").alias("c"))]
+    for k in range(order - 1, -1, -1):
+        paths.insert(0, stored(paths[0].groupBy(_tail("path", k + 1).alias("path")).agg(F.count(F.lit(1)).alias("c")), f"ppm-level{k}"))
+    contexts: list[DataFrame] = []
+    for k, own in enumerate(paths):
         at = own.groupBy(F.shiftright("path", 8).alias("x")).agg(F.sum("c").alias("t"), F.count("*").alias("d"))
         if not k:
             at = at.withColumn("whole", F.lit(None).cast("double")).withColumn("on", F.lit(None).cast("double"))
         else:
-            shorter = paths[-1].select(F.col("path").alias("short"), F.col("c").alias("less"))
+            shorter = paths[k - 1].select(F.col("path").alias("short"), F.col("c").alias("less"))
             gone = own.withColumn("short", _tail("path", k)).join(shorter, "short").groupBy(F.shiftright("path", 8).alias("x")).agg(F.sum("less").alias("less"))
             below = contexts[-1].select(F.col("x").alias("y"), F.col("t").alias("bt"), F.col("d").alias("bd"))
             at = at.join(gone, "x").withColumn("y", _tail("x", k - 1)).join(below, "y")
             t, d = F.col("bt") - F.col("less"), F.col("bd") - F.col("d")
-            on = F.when(d > 0, F.log10(d / (t + d))).otherwise(0.0)
-            at = at.select("x", "t", "d", F.when(t + d > 0, F.log10(t + d)).alias("whole"), on.alias("on"))
+            on = F.when(d > 0, F.log10(d / (2 * t))).otherwise(0.0)
+            at = at.select("x", "t", "d", F.when(t > 0, F.log10(2 * t)).alias("whole"), on.alias("on"))
         at = stored(at, f"ppm-contexts{k}")
-        paths.append(F.broadcast(own) if k < 2 else own)
         contexts.append(F.broadcast(at) if k < 3 else at)
-    return paths, contexts
+    return [F.broadcast(p) if k < 2 else p for k, p in enumerate(paths)], contexts
 
 
 def _tail(name: str, size: int) -> Column:
@@ -329,19 +332,19 @@ def path_logs(codes: DataFrame, trie_levels: tuple[list[DataFrame], list[DataFra
     on, fresh = F.lit(rest), F.lit(rest)  # the log from this level on, below a known context and with none known yet
     for k in range(len(paths)):
         c, t, d = F.col(f"c{k}"), F.col(f"t{k}"), F.col(f"d{k}")
-        first = F.when(c.isNotNull(), F.log10(c / (t + d))).otherwise(F.log10(d / (t + d)) + on)
+        first = F.when(c.isNotNull(), F.log10((2 * c - 1) / (2 * t))).otherwise(F.log10(d / (2 * t)) + on)
         fresh = F.when(t.isNull(), fresh).otherwise(first)
         if k + 1 < len(paths):
-            on = F.when(c.isNotNull(), F.log10(c) - F.col(f"whole{k + 1}")).otherwise(F.col(f"on{k + 1}") + on)
+            on = F.when(c.isNotNull(), F.log10(2 * c - 1) - F.col(f"whole{k + 1}")).otherwise(F.col(f"on{k + 1}") + on)
             out = out.withColumn(f"l{k}", on).withColumn(f"f{k}", fresh)
             on, fresh = F.col(f"l{k}"), F.col(f"f{k}")
     return out.select("path", fresh.alias("log"))
 
 
-def _based(words: DataFrame, total: int, distinct: int) -> DataFrame:
+def _based(vocab: DataFrame, total: int, distinct: int) -> DataFrame:
     """(word, n, known, base) of each distinct token."""
     base = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-    return words.select("word", "n", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"))
+    return vocab.select("word", "n", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"))
 
 
 def _hot(scored: DataFrame, most: int) -> DataFrame:
@@ -359,11 +362,11 @@ def _hot(scored: DataFrame, most: int) -> DataFrame:
 def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", most: int = PATHS) -> DataFrame:
     """``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row."""
     spark = docs.sparkSession
-    words = stored(vocabulary(docs, train, text), "ppm-words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    based = _based(words, total, distinct)
+    vocab = stored(vocabulary(docs, train, text), "ppm-words")
+    total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    based = _based(vocab, total, distinct)
     hot = _hot(based, HOT).toArrow()
-    frequent = dict(zip(hot["word"].to_pylist(), zip(hot["known"].to_pylist(), hot["base"].to_pylist())))
+    frequent = dict(zip(hot["word"].to_pylist(), zip(hot["known"].to_pylist(), hot["base"].to_pylist(), [True] * len(hot))))
     counted = stored(trie(docs, train, ORDER, text), "ppm-paths")
     whole = counted.count() <= most
     if whole:
@@ -380,40 +383,30 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
     def batch(columns: list, rows: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], fields)
+        return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, model = shared.value[0], kept(name, lambda: (Ppm if whole else Frequent)(*shared.value[1]))
         row = TaskContext.get().partitionId() << 40
-        for b in slices(batches, 256):
-            texts = zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())
-            for part in pieces(list(texts), lambda x: len(x[1])):
-                own, rest, bags = [], [], []
-                for i, t in part:
-                    w = tokens(t)
-                    bags.append(w)
-                    known, base = 0, 0.0
-                    counted = Counter(w)
-                    counted[END_TOKEN] = 1
-                    for x, n in counted.items():
-                        hit = near.get(x)
-                        if hit is None:
-                            rest.append((row, x, n))
-                        else:
-                            known += n * hit[0]
-                            base += n * hit[1]
-                    own.append((row, i, len(w) + 1, known, base))
-                    row += 1
-                r, i, n, k, x = zip(*own)
-                scores = model.score(bags)
-                if not whole:
-                    scores, at, path, times = scores
-                    if len(at):
-                        yield batch([np.array(r)[at], None, None, times, None, None, None, path], len(at))
-                yield batch([r, i, None, n, k, x, scores, None], len(own))
-                if rest:
-                    r, x, n = zip(*rest)
-                    yield batch([r, None, x, n, None, None, None, None], len(rest))
+        for b in sized(batches, 1, size=PIECE):
+            found, index, counts = words(pc.ascii_lower(b.column(1)))
+            rows = np.arange(row, row + b.num_rows)
+            row += b.num_rows
+            known, base, hit = (np.array(x, t) for x, t in zip(zip(*(near.get(w, _RARE) for w in [*found, END_TOKEN])), (np.int64, float, bool)))
+            own = [sums(x[index], counts) + hit[-1] * x[-1] for x in (known, base)]
+            texts = np.repeat(np.arange(len(rows)), counts)[~hit[index]]
+            rare, times = np.unique(texts * len(found) + index[~hit[index]], return_counts=True)
+            scores = model.score(streams(b.column(1), ORDER))
+            if not whole:
+                scores, at, path, often = scores
+                if len(at):
+                    yield batch([rows[at], None, None, often, None, None, None, path], len(at))
+            yield batch([rows, b.column(0), None, counts + 1, *own, scores, None], len(rows))
+            if len(rare):
+                text, word = np.divmod(rare, len(found))
+                yield batch([rows[text], None, pa.array(found, pa.binary()).take(pa.array(word)), times, None, None, None, None], len(rare))
+            if not hit[-1]:  # the end is no frequent word
+                yield batch([rows, None, [END_TOKEN] * len(rows), np.ones(len(rows), np.int64), None, None, None, None], len(rows))
 
     read = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     bags = stored(read.mapInArrow(run, schema), "ppm-bags")

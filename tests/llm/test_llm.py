@@ -140,8 +140,10 @@ def test_language_model_is_brute_forces(spark, texts):
             words.update(b + [ppm.END_TOKEN])
             s = ppm.stream(b, order)
             for j in range(order, len(s)):
-                for k in range(order + 1):
-                    nodes.setdefault(s[j - k : j], Counter())[s[j]] += 1
+                nodes.setdefault(s[j - order : j], Counter())[s[j]] += 1
+    for k in range(order, 0, -1):  # shorter contexts count the longer ones that a symbol was seen in
+        for context, after in [x for x in nodes.items() if len(x[0]) == k]:
+            nodes.setdefault(context[1:], Counter()).update(after.keys())
     total, kinds = sum(words.values()), len(words)
 
     def log(path):
@@ -149,9 +151,9 @@ def test_language_model_is_brute_forces(spark, texts):
         for k in range(order + 1):
             live = {s: n for s, n in nodes.get(path[k:-1], {}).items() if s not in gone}
             if live:
-                whole = sum(live.values()) + len(live)
+                whole = 2 * sum(live.values())
                 if path[-1] in live:
-                    return out + np.log10(live[path[-1]] / whole)
+                    return out + np.log10((2 * live[path[-1]] - 1) / whole)
                 out += np.log10(len(live) / whole)
                 gone |= set(live)
         return out - np.log10(ppm.SYMBOLS - len(gone))
