@@ -21,12 +21,12 @@ def sample(
     """(text, label) of labelled rows for which the Column ``train`` holds.
 
     Of each class, the ``max_docs`` rows of least hashed id are taken, while their texts
-    stay within half of ``max_bytes``; texts are whole. Ids labelled twice count once,
+    stay within half of ``max_bytes``: those of over a hundredth of that come last, and the first
+    row is always taken. Texts are whole. Ids labelled twice count once,
     with the greater label. Rows without a label, id or text are left out.
     """
     marked = labels.where(F.col(label).isNotNull() & train).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("label"))
-    order = F.xxhash64("id")
-    best = marked.select("id", "label", order.alias("at"))
+    best = marked.select("id", "label", F.xxhash64("id").alias("at"))
     picked = [best.where(F.col("label") == c).orderBy("at", "id").limit(max_docs) for c in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * max_docs rows at most
     sizes = (
@@ -36,8 +36,9 @@ def sample(
         .groupBy("id", "label", "at")
         .agg(F.max("n").alias("n"))
     )
-    upto = F.sum("n").over(Window.partitionBy("label").orderBy("at", "id"))
-    fits = sizes.withColumn("upto", upto).where(F.col("upto") <= max_bytes // 2).select("id", "label", "at", "n")
+    order = Window.partitionBy("label").orderBy(F.col("n") > max_bytes // 200, "at", "id")
+    sizes = sizes.withColumn("upto", F.sum("n").over(order)).withColumn("nth", F.row_number().over(order))
+    fits = sizes.where((F.col("upto") <= max_bytes // 2) | (F.col("nth") == 1)).select("id", "label", "at", "n")
     rows = (
         docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
         .join(F.broadcast(fits), "id")

@@ -271,6 +271,30 @@ def test_near_copies_go(spark, texts):
     assert neardedup.deduplicated(empty(spark)).count() == 0
 
 
+def test_odd_ids_of_near_copies(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (5, a + " more"), (None, a), (None, b + " more"), (None, "alone " + b[:40]), (None, "alone " + b[:40]), (7, None), (3, "")]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, own string, mark int")
+    got = neardedup.deduplicated(d)
+    assert got.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "alone " + b[:40]), (3, ""), (5, a), (5, b)]
+
+
+def test_rows_without_an_id_are_decontaminated(spark):
+    leak, clean = " ".join(f"w{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    d = spark.createDataFrame([(1, leak, 0), (1, clean, 0), (None, leak, 0), (2, clean, 0)], "doc_id long, text string, rid int")
+    kept = decontaminate.decontaminated(d, bench)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, clean), (2, clean)] and kept.columns == d.columns
+    assert sorted((r.doc_id or 0, r.item_id, r.similarity) for r in decontaminate.leaks(d, bench).collect()) == [(0, 1, 1.0), (1, 1, 1.0)]
+
+
+def test_id_files_keep_rows_without_an_id(spark):
+    d = spark.createDataFrame([(1, "a b"), (None, "a"), (1, "a"), (None, None)], "doc_id long, text string")
+    got = idfiles.packed_ids(d, P.path("word_bpe_49k.json"), 2).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 1), (None, 1, 2), (1, 3, 2), (1, 5, 3)]
+
+
 def _near(cases, least=neardedup.LEAST):
     """Component of each text by comparing all pairs."""
     sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in cases]
