@@ -67,7 +67,7 @@ def words(texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 class ChunkMemo(dict):
     """chunk -> number; ``resolve(new chunks)`` is called once a batch, before numbers are used."""
 
-    def __init__(self, resolve: Callable[[list], None], reset: Callable[[], None], limit: int = 700_000, limit_bytes: int = 24 << 20):
+    def __init__(self, resolve: Callable[[list], None], reset: Callable[[], None], limit: int = 300_000, limit_bytes: int = 10 << 20):
         super().__init__()
         self.resolve, self.reset, self.limit, self.limit_bytes = resolve, reset, limit, limit_bytes
         self.held = 0

@@ -118,6 +118,7 @@ def map_text(df: DataFrame, key: list[str], text: str, schema: str, make: Callab
                 [c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, arrow)],
                 schema=arrow,
             )
+        pa.default_memory_pool().release_unused()
 
     return out.mapInArrow(run, StructType(fields))
 
@@ -136,5 +137,6 @@ def filter_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.String
         keep = make()
         for b in sized(batches, at):
             yield b.filter(pa.array(keep(pc.fill_null(b.column(at), "")), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)

@@ -158,7 +158,7 @@ class LibraryEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.between = self.tokenizer.token_to_id(_BETWEEN)
         self.reset()
-        self.memo = ChunkMemo(self.resolve, self.reset, limit=900_000)
+        self.memo = ChunkMemo(self.resolve, self.reset, limit=900_000, limit_bytes=24 << 20)
 
     def reset(self) -> None:
         self.rows = Ragged()
