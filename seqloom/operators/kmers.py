@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP = 63
@@ -167,11 +167,16 @@ def _rc(code: Column, k: int) -> Column:
     return F.shiftrightunsigned(x, 64 - 2 * k)
 
 
-def neighbours(kmers: DataFrame, k: int) -> DataFrame:
-    """(km, side, base, n, nbr, nbr_side, nbr_base): each live link with its k-mer and the reciprocal link there."""
+def neighbours(kmers: DataFrame, k: int, least: int = 1) -> DataFrame:
+    """(km, side, base, n, nbr, nbr_side, nbr_base): each live link with its k-mer and the reciprocal link there.
+
+    Only sides of ``least`` links or more are looked at; others are left out before rows are made of links.
+    """
     mask = F.lit((1 << 2 * k) - 1).cast("long")
-    entries = [F.struct(F.lit(s).alias("side"), F.lit(b).alias("base"), F.col(f"{s}{b}").alias("n")) for s in "lr" for b in range(4)]
-    links = kmers.select("km", F.explode(F.array(*entries)).alias("e")).select("km", "e.*").where("n > 0")
+    side = lambda s: F.array(*(F.struct(F.lit(s).alias("side"), F.lit(b).alias("base"), F.col(f"{s}{b}").alias("n")) for b in range(4)))
+    left, right = degree(LEFT) >= least, degree(RIGHT) >= least
+    entries = F.when(left & right, F.concat(side("l"), side("r"))).when(left, side("l")).otherwise(side("r"))
+    links = kmers.where(left | right).select("km", F.explode(entries).alias("e")).select("km", "e.*").where("n > 0")
     first = F.shiftright("km", 2 * (k - 1)).cast("int")
     last = F.col("km").bitwiseAND(F.lit(3)).cast("int")
     right = F.shiftleft("km", 2).bitwiseAND(mask).bitwiseOR(F.col("base").cast("long"))
@@ -188,18 +193,22 @@ def neighbours(kmers: DataFrame, k: int) -> DataFrame:
     )
 
 
+def branches(kmers: DataFrame, k: int) -> DataFrame:
+    """(km, side, base, n, nbr, nbr_cnt): the links of branching sides, with the count of the k-mer they lead to."""
+    counts = kmers.select(F.col("km").alias("nbr"), F.col("cnt").alias("nbr_cnt"))
+    return neighbours(kmers, k, 2).select("km", "side", "base", "n", "nbr").join(counts, "nbr")
+
+
 def branch_peaks(kmers: DataFrame, k: int) -> DataFrame:
     """(km, side, links, peak): of each branching side the largest count of a neighbour."""
-    at = neighbours(kmers, k).join(kmers.select(F.col("km").alias("nbr"), F.col("cnt").alias("nbr_cnt")), "nbr")
-    return at.groupBy("km", "side").agg(F.count(F.lit(1)).cast("long").alias("links"), F.max("nbr_cnt").alias("peak")).where("links > 1")
+    return branches(kmers, k).groupBy("km", "side").agg(F.count(F.lit(1)).cast("long").alias("links"), F.max("nbr_cnt").alias("peak")).where("links > 1")
 
 
 def doomed_neighbours(kmers: DataFrame, k: int, percent: int = 5) -> DataFrame:
     """(km): k-mers with under ``percent`` of the count of the largest neighbour on some branching side."""
-    at = neighbours(kmers, k).join(kmers.select(F.col("km").alias("nbr"), F.col("cnt").alias("nbr_cnt")), "nbr")
-    peaks = branch_peaks(kmers, k)
-    hit = at.join(peaks, ["km", "side"]).where(F.col("nbr_cnt") * 100 < F.col("peak") * percent)
-    return hit.select(F.col("nbr").alias("km")).distinct()
+    side = Window.partitionBy("km", "side")  # four rows at most
+    at = branches(kmers, k).withColumn("peak", F.max("nbr_cnt").over(side)).withColumn("links", F.count(F.lit(1)).over(side))
+    return at.where((F.col("links") > 1) & (F.col("nbr_cnt") * 100 < F.col("peak") * percent)).select(F.col("nbr").alias("km")).distinct()
 
 
 def without(kmers: DataFrame, doomed: DataFrame, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import seq as S
 from seqloom.operators import kmers as K
 from seqloom.operators import stats
+from seqloom.operators.components import cut
 from seqloom.plans import sql as Q
 
 KMER = 23
@@ -83,19 +84,20 @@ def flt4_degrees(spark, sf_dir):
 
 def join2_neighbours(spark, sf_dir):
     """Each k-mer's links joined with the k-mers they lead to (JOIN-1/2): by k-mer."""
-    t = kmers(spark, sf_dir)
-    at = K.neighbours(t, KMER).join(t.select(F.col("km").alias("nbr"), F.col("cnt").alias("nbr_cnt")), "nbr")
+    t = cut(kmers(spark, sf_dir))
+    many = t.where(K.degree(K.LEFT) + K.degree(K.RIGHT) > 2)
+    at = K.neighbours(many, KMER).join(t.select(F.col("km").alias("nbr"), F.col("cnt").alias("nbr_cnt")), "nbr")
     return _spelled(at.groupBy("km").agg(F.count(F.lit(1)).alias("links"), F.sum("nbr_cnt").alias("nbr_sum"), F.sum("n").cast("long").alias("weight")).where("links > 2"))
 
 
 def agg4_branch_peaks(spark, sf_dir):
     """The largest neighbour of each branching side (AGG-4)."""
-    return _spelled(K.branch_peaks(kmers(spark, sf_dir), KMER))
+    return _spelled(K.branch_peaks(cut(kmers(spark, sf_dir)), KMER))
 
 
 def g1_local_filter(spark, sf_dir):
     """K-mers that the relative filter removes, at 40 percent (G-1)."""
-    return _spelled(K.doomed_neighbours(kmers(spark, sf_dir), KMER, 40))
+    return _spelled(K.doomed_neighbours(cut(kmers(spark, sf_dir)), KMER, 40))
 
 
 def agg12_summary(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import assembly, basics, gaps, graph
+from seqloom.plans import assembly, basics, contigs, gaps, graph
 
-QUERIES: dict = basics.QUERIES | assembly.QUERIES | graph.QUERIES | gaps.QUERIES
-ORACLE_SQL: dict = basics.ORACLE_SQL | assembly.ORACLE_SQL | graph.ORACLE_SQL | gaps.ORACLE_SQL
+QUERIES: dict = basics.QUERIES | assembly.QUERIES | graph.QUERIES | gaps.QUERIES | contigs.QUERIES
+ORACLE_SQL: dict = basics.ORACLE_SQL | assembly.ORACLE_SQL | graph.ORACLE_SQL | gaps.ORACLE_SQL | contigs.ORACLE_SQL
