@@ -78,6 +78,21 @@ def pair_links(rows: DataFrame) -> DataFrame:
     return merged(linked.select("c1", "s1", F.col("f").alias("c2"), twin(F.col("fs")).alias("s2"), "gap"))
 
 
+def pair_links_by_grade(rows: DataFrame, grade: str = "grade") -> DataFrame:
+    """(grade, c1, s1, c2, s2, gap, weight): links by pairs of each insert grade apart."""
+    linked = rows.where("status = 'linked'")
+    ends = stored_once(linked.select("c1", "s1", F.col("f").alias("c2"), twin(F.col("fs")).alias("s2"), "gap", F.col(grade).alias("grade")))
+    return ends.groupBy("grade", *END).agg(F.expr("cast(sum(gap) div count(*) as bigint)").alias("gap"), F.least(F.lit(255), F.count(F.lit(1))).cast("int").alias("weight"))
+
+
+def merged_grades(links: DataFrame, palindromes: DataFrame) -> DataFrame:
+    """(c1, s1, c2, s2, gap, weight, grades): the links of all grades, gaps by weight; contigs (contig_id) that are palindromes are left out."""
+    for c in ("c1", "c2"):
+        links = links.join(palindromes.select(F.col("contig_id").alias(c)), c, "left_anti")
+    gap = F.expr("cast(sum(gap * weight) div sum(weight) as bigint)")
+    return links.groupBy(*END).agg(gap.alias("gap"), F.least(F.lit(255), F.sum("weight")).cast("int").alias("weight"), F.count(F.lit(1)).alias("grades"))
+
+
 def strong(links: DataFrame, least: int = 3) -> DataFrame:
     """Links of weight ``least`` or more."""
     return links.where(F.col("weight") >= least)

@@ -33,19 +33,26 @@ def unique_kmers(contigs: DataFrame, k: int) -> DataFrame:
     return once.where("n = 1").drop("n")
 
 
-def least_votes(read_len: Column, k: int, map_len: int = 32) -> Column:
-    """K-mers of a contig that a read needs: 5 at least, all of its mappable length."""
-    return F.greatest(F.lit(5), F.least(read_len, F.lit(max(32, map_len))) - k + 1)
+def least_votes(read_len: Column, k: int, map_len: int = 32, insert: int = 0) -> Column:
+    """K-mers of a contig that a read needs: 5 at least, all of its mappable length.
 
+    That is 32 bases or more; for an insert of over 1000, 35 or more and over half of the read.
+    """
+    if insert > 1000:
+        length = F.greatest(F.lit(max(35, map_len)), F.floor(read_len / 2).cast("int") + 1)
+    else:
+        length = F.lit(max(32, map_len))
+    return F.greatest(F.lit(5), F.least(read_len, length) - k + 1)
 
-def placements(reads: DataFrame, contigs: DataFrame, k: int, map_len: int = 32) -> DataFrame:
+
+def placements(reads: DataFrame, contigs: DataFrame, k: int, map_len: int = 32, insert: int = 0) -> DataFrame:
     """(read_id, contig_id, strand, read_off, ctg_off, start, votes): where reads lie, one row a read and contig."""
     occ = occurrences(reads, k)
     hits = occ.join(unique_kmers(contigs, k), "km")
     first = F.min(F.struct(F.col("j"), F.col("pos"), (F.col("fwd") == F.col("ctg_fwd")).alias("same")))
     votes = hits.groupBy("read_id", "contig_id").agg(F.count(F.lit(1)).alias("votes"), first.alias("first"))
     sizes = reads.select("read_id", F.length("seq").alias("read_len"))
-    placed = votes.join(sizes, "read_id").where(F.col("votes") >= least_votes(F.col("read_len"), k, map_len))
+    placed = votes.join(sizes, "read_id").where(F.col("votes") >= least_votes(F.col("read_len"), k, map_len, insert))
     placed = placed.join(contigs.select("contig_id", "len"), "contig_id")
     off = F.when(F.col("first.same"), F.col("first.pos")).otherwise(F.col("len") - F.col("first.pos"))
     return placed.select(
@@ -74,3 +81,19 @@ def gap_reads(best: DataFrame, insert: int, k: int, contigs: DataFrame) -> DataF
     lone = placed.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min("read_id").alias("read_id"), F.min("contig_id").alias("contig_id"), F.min("strand").alias("strand"), F.min("start").alias("start"), F.min("len").alias("len")).where("n = 1")
     mate = F.when(F.col("read_id") % 2 == 1, F.col("read_id") + 1).otherwise(F.col("read_id") - 1)
     return lone.select(mate.alias("read_id"), "contig_id", twin(F.col("strand")).alias("strand"), (F.col("start") + insert - F.col("len")).alias("dis"))
+
+
+def read_on_scaffolds(placed: DataFrame, layout: DataFrame, k: int) -> DataFrame:
+    """(read_id, read_off, scaf, scaf_pos, strand, align_len): placements on contigs carried over to scaffolds.
+
+    ``layout`` has each contig once: (scaf, ord, contig_id, strand, len, start). A scaffold's later contigs are written from base k on, so
+    what a read covers of the bases before is not counted; a read of which nothing is left there goes.
+    """
+    at = placed.select("read_id", "contig_id", "read_off", "ctg_off", "votes", F.col("strand").alias("own")).join(layout, "contig_id")
+    same = F.col("own") == F.col("strand")
+    off = F.when(same, F.col("ctg_off")).otherwise(F.col("len") - F.col("ctg_off"))
+    at = at.withColumn("off", off).withColumn("lost", F.when(F.col("start") > 0, F.greatest(F.lit(0), k - F.col("off"))).otherwise(0))
+    return at.select(
+        "read_id", "read_off", "scaf", (F.col("start") + F.col("off") + F.col("lost")).cast("long").alias("scaf_pos"), F.when(same, "+").otherwise("-").alias("strand"),
+        (F.col("votes") + k - 1 - F.col("lost")).cast("long").alias("align_len"),
+    ).where("align_len > 0")

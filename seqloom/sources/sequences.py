@@ -1,9 +1,9 @@
 """Sequence files as tables, and tables as sequence files.
 
-FASTA records are read through Spark's own text source with '>' as the line separator, so
+FASTA records are read through Spark's own text source with a line that begins with '>' as the separator, so
 large files split. FASTQ needs four lines a record, so a file is read in order by one task; many
 files run side by side. BAM files are decoded a file a task, from their BGZF blocks.
-All give (file, ord, name, seq); ord is the place in the file (FASTA: among a file's split, kept ascending).
+All give (file, ord, name, seq); ord is the place in the file, from 0.
 """
 
 from __future__ import annotations
@@ -13,20 +13,37 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.components import cut
+
 #: Letters of the 4-bit codes that BAM packs sequences in (a fixed value of the format).
 NIBBLES = "=ACMGRSVTWYHKDBN"
 QC_FAIL = 0x200
+#: The most bytes of a compressed block.
+BLOCK = 1 << 16
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, seq) of FASTA records of one or many lines; '#' lines are skipped."""
-    raw = spark.read.option("lineSep", ">").text(path).select(F.input_file_name().alias("file"), "value")
-    lines = F.filter(F.split("value", "\r?\n"), lambda x: ~x.startswith("#"))
-    out = raw.select("file", F.element_at(lines, 1).alias("name"), F.array_join(F.slice(lines, 2, 1 << 30), "").alias("seq"))
-    return out.where("name <> ''").withColumn("name", F.split("name", r"\s")[0])
+    """(file, ord, name, seq) of FASTA records of one or many lines; '#' lines are skipped. A '>' begins a record at a line's start only."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    first = F.regexp_replace("value", "^(#[^\n]*\n)*>", "")  # the file's first record has its sign still
+    lines = F.filter(F.split(first, "\r?\n"), lambda x: ~x.startswith("#"))
+    rows = raw.select("file", "at", F.get(lines, F.lit(0)).alias("name"), F.array_join(F.slice(lines, 2, 1 << 30), "").alias("seq")).where("name <> ''")
+    rows = rows.withColumn("name", F.split("name", r"\s")[0])
+    return placed(rows, "file", "at", "ord").select("file", "ord", "name", "seq")
+
+
+def placed(rows: DataFrame, file: str, at: str, name: str) -> DataFrame:
+    """Adds a row's place among its file's, from 0: by Spark's row ids, which ascend along a file's splits."""
+    split = F.shiftright(at, 33)
+    rows = cut(rows.withColumn("__split", split))  # the ids hold only while nothing is read again
+    sizes = rows.groupBy(file, "__split").agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__at"))
+    before = Window.partitionBy(file).orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(file, "__split", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))  # a row a split
+    nth = F.row_number().over(Window.partitionBy(file, "__split").orderBy(at)) - 1
+    return rows.withColumn("__nth", nth).join(F.broadcast(first), [file, "__split"]).withColumn(name, F.col("__first") + F.col("__nth")).drop("__split", "__first", "__nth", at)
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -44,11 +61,14 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 def bam_records(data: bytes) -> Iterator[tuple[str, int, str]]:
     """(name, flag, sequence) of each alignment of a BAM file."""
-    body, rest = bytearray(), data
-    while rest:
+    body, at = bytearray(), 0
+    while at < len(data):
         inflate = zlib.decompressobj(31)
-        body += inflate.decompress(rest)
-        rest = inflate.unused_data
+        body += inflate.decompress(data[at : at + BLOCK])
+        while not inflate.eof and at + BLOCK < len(data):  # not a BGZF block: those are no longer
+            at += BLOCK
+            body += inflate.decompress(data[at : at + BLOCK])
+        at += min(BLOCK, len(data) - at) - len(inflate.unused_data)
     if body[:4] != b"BAM\x01":
         raise ValueError("not a BAM file")
     at = 8 + struct.unpack_from("<i", body, 4)[0]

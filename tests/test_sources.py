@@ -6,6 +6,7 @@ import zlib
 from seqloom.operators import kmers as K
 from seqloom.sources import config
 from seqloom.sources import sequences as Q
+from seqloom.sources.reads import library_reads
 from seqloom.streaming.kmers import count_stream, totals
 
 
@@ -33,6 +34,20 @@ def test_fastq_pairs(spark, tmp_path):
     assert got[:3] == [(1, 1, "ACGT"), (2, 2, "TTGG"), (3, 1, "ACGTACGT")] and len(got) == 6
 
 
+def test_reads_of_a_configuration(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("#c\n>a len>5 x\nACGTACGTAC\nGTAC\n>b\nGGGG\n" + "".join(f">n{i}\n{'ACTG' * 5}\n" for i in range(50)))
+    (tmp_path / "1.fq").write_text("@r/1\nAACCGGTTAACCGGTT\n+\nIIII\n")
+    (tmp_path / "2.fq").write_text("@r/2\nTTTTTTTTTTTTTTTT\n+\nIIII\n")
+    (tmp_path / "c.txt").write_text(f"max_rd_len=15\n[LIB]\navg_ins=100\nreverse_seq=1\nrd_len_cutoff=14\nf={tmp_path}/a.fa\n[LIB]\navg_ins=200\nq1={tmp_path}/1.fq\nq2={tmp_path}/2.fq\n")
+    libs = config.libraries(spark, str(tmp_path / "c.txt"))
+    got = sorted((r.lib_id, r.read_id, r.seq) for r in library_reads(spark, libs, 13).collect())
+    assert got[0] == (0, 1, "GTACGTACGTACGT") and len(got) == 53 and [x[1] for x in got[1:51]] == list(range(3, 53))
+    assert got[51:] == [(1, 1, "AACCGGTTAACCGGT"), (1, 2, "T" * 15)]
+    assert library_reads(spark, libs, 13, pairs=True).count() == 2
+    fasta = Q.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("ord").collect()
+    assert [(r.ord, r.name, r.seq) for r in fasta[:2]] == [(0, "a", "ACGTACGTACGTAC"), (1, "b", "GGGG")] and [r.ord for r in fasta] == list(range(52))
+
+
 def _bam(rows):
     body = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 0)
     for name, flag, seq in rows:
