@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.operators import contigs as C
 from seqloom.operators import edges as E
 from seqloom.operators import gaps as G
 from seqloom.operators import kmers as K
@@ -75,6 +76,28 @@ def test_tip_goes_and_the_path_stays(spark):
     assert [len(s) for s in got.seq] == [120]
 
 
+def test_contigs_are_put_together_to_the_end(spark):
+    g = genome(260, 11)
+    # A branch that no read runs through on one side: its edges only follow the main path's.
+    seqs = [g[i : i + 70] for i in range(0, 200, 10)] + [g[100:130] + genome(30, 12)]
+    r = reads(spark, seqs)
+    t = K.kmer_table(r, SIZE)
+    edges, nodes = U.edge_table(t, SIZE)
+    arcs = U.edge_arcs(U.read_paths(K.occurrences(r, SIZE), t, edges, nodes), edges)
+    whole = C.spelled(edges, U.oriented(edges))
+    kept = arcs.where("multiplicity > 1")  # without the branch's
+    assert C.joins(arcs, whole).count() == 0 and C.joins(kept, whole).count() > 0
+    e, a = C.cleaned(whole, kept, SIZE, weak10=0, percent=0, floor=1, short=0)
+    assert C.joins(a, e).count() == 0
+    before, after = whole.toPandas(), e.toPandas()
+    assert after.len.sum() == before.len.sum() and len(after) < len(before)
+    for row in after.itertuples():
+        assert len(row.seq) == row.len + SIZE and (row.seq in g or rc(row.seq) in g or row.len < 60)
+    assert {rc(x) for x in after.seq} == set(after.seq)
+    rows = C.contig_rows(e, a).toPandas()
+    assert sorted(rows.contig_id) == list(range(1, len(rows) + 1)) and rows.len.max() > 190
+
+
 def test_n_windows_are_left_out(spark):
     read, place, *_ = K.windows([b"ACGTACGTACGTANACGTTTGCATGCA", b"ACG", b""], SIZE)
     assert read.tolist() == [0, 0] and place.tolist() == [0, 14]
