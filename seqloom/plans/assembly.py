@@ -99,6 +99,47 @@ def lnk2_pair_links(spark, sf_dir):
     return L.pair_links(_pairs(spark, sf_dir))
 
 
+def _graded(spark, sf_dir) -> DataFrame:
+    size = F.col("insert_size")
+    return _pairs(spark, sf_dir).withColumn("grade", F.when(size <= 300, 1).when(size <= 800, 2).when(size <= 3000, 3).when(size <= 7000, 4).otherwise(5))
+
+
+def lnk2_grades(spark, sf_dir):
+    """Links by pairs of each insert grade apart (LNK-2)."""
+    return L.pair_links_by_grade(_graded(spark, sf_dir))
+
+
+def lnk3_merged(spark, sf_dir):
+    """Links of all grades merged, palindromic contigs left out (LNK-3, SRC-18)."""
+    palindromes = contigs(spark, sf_dir).where(F.col("seq") == S.revcomp(F.col("seq"))).select("contig_id")
+    return L.merged_grades(L.pair_links_by_grade(_graded(spark, sf_dir)), palindromes)
+
+
+def agg8_long_insert(spark, sf_dir):
+    """Placements under the higher floor of long inserts (AGG-8)."""
+    return M.placements(reads(spark, sf_dir), contigs(spark, sf_dir), KMER, insert=2000)
+
+
+def _layout(spark, sf_dir) -> DataFrame:
+    """Each contig in the first text that has it, laid along the text's other contigs."""
+    lines = docs(spark, sf_dir).select(F.col("doc_id").alias("scaf"), F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    own = S.normalize(F.col("line"))
+    at = lines.select("scaf", "ord", S.canonical(own).alias("seq"), F.when(S.is_canonical(own), "+").otherwise("-").alias("strand"))
+    first = at.groupBy("seq").agg(F.min(F.struct("scaf", "ord", "strand")).alias("f")).join(contigs(spark, sf_dir), "seq")
+    members = first.select(F.col("f.scaf").alias("locus_id"), F.lit(1).alias("iso"), F.col("f.ord").alias("ord"), "contig_id", F.col("f.strand").alias("strand"), F.lit(0).cast("long").alias("gap"), F.col("len").cast("long").alias("len"))
+    return T.laid_out(members).withColumnRenamed("locus_id", "scaf").drop("iso", "gap")
+
+
+def win7_layout(spark, sf_dir):
+    """Contigs with their running offset along scaffolds (WIN-7, GAP-2)."""
+    return _layout(spark, sf_dir)
+
+
+def snk15_reads_on_scaffolds(spark, sf_dir):
+    """Reads carried over from contigs to scaffolds (JOIN-10, SNK-15)."""
+    return M.read_on_scaffolds(_placed(spark, sf_dir)[0], _layout(spark, sf_dir), KMER)
+
+
 def t2_strong(spark, sf_dir):
     """Links of weight 2 and more (T-2)."""
     return L.strong(_links(spark, sf_dir)[0], 2)
@@ -185,6 +226,7 @@ def agg14_rpkm(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     win5_contigs, join7_index, map2_placements, map3_best, map4_gap_reads, agg16_mapped, lnk4_read_links, lnk1_pairs, lnk2_pair_links, t2_strong,
+    lnk2_grades, lnk3_merged, agg8_long_insert, win7_layout, snk15_reads_on_scaffolds,
     t4_two_cycles, t5_transitive, t13_light, lim2_top_links, t3_loci, t6_conflicts, t8_kinds, t12_transcripts, gap7_rendered, gap7_agp, join11_unplaced, agg14_rpkm,
 )}
 
@@ -247,7 +289,21 @@ _PAIRS = f"""WITH {Q.reads(KMER, 'all_reads')}, long_reads AS (SELECT * FROM all
     g AS (SELECT *, ins - {KMER} + p1 + p2 - len1 - len2 AS gap FROM p),
     pairs AS (SELECT *, CASE WHEN c1 = f AND s1 = fs THEN 'wrong_orientation' WHEN c1 = f THEN 'same_contig' WHEN gap < -(ins // 10) THEN 'gap_too_small' WHEN gap > ins THEN 'gap_too_large' ELSE 'linked' END AS status FROM g)"""
 
+_GRADES = f"""{_PAIRS}, graded AS (SELECT CASE WHEN ins <= 300 THEN 1 WHEN ins <= 800 THEN 2 WHEN ins <= 3000 THEN 3 WHEN ins <= 7000 THEN 4 ELSE 5 END AS grade, c1, s1, f AS c2, {_FLIP.format('fs')} AS s2, gap FROM pairs WHERE status = 'linked'),
+    by_grade AS (SELECT grade, c1, s1, c2, s2, CAST(trunc(sum(gap) / count(*)) AS BIGINT) AS gap, CAST(least(255, count(*)) AS INTEGER) AS weight FROM ({_ONCE}, gap, grade FROM (SELECT *, {_OWN} FROM graded)) GROUP BY ALL)"""
+_LAYOUT = f"""laid AS (SELECT doc_id AS scaf, i - 1 AS ord, {Q.norm('line')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+    firsts AS (SELECT canon AS seq, min((scaf, ord, strand)) AS f FROM (SELECT scaf, ord, CASE WHEN {Q.num('s')} < {Q.num(Q.rc('s'))} THEN s ELSE {Q.rc('s')} END AS canon, CASE WHEN {Q.num('s')} < {Q.num(Q.rc('s'))} THEN '+' ELSE '-' END AS strand FROM laid) GROUP BY 1),
+    layout AS (SELECT f[1] AS scaf, CAST(f[2] AS INTEGER) AS ord, contig_id, f[3] AS strand, len, CAST(coalesce(sum(len) OVER (PARTITION BY f[1] ORDER BY f[2] ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM firsts JOIN contigs USING (seq))"""
+_CARRIED = f"""carried AS (SELECT p.read_id, p.read_off, l.scaf, l.start, p.strand = l.strand AS same, CASE WHEN p.strand = l.strand THEN ctg_off ELSE l.len - ctg_off END AS off, votes FROM placed p JOIN layout l USING (contig_id)),
+    left_over AS (SELECT *, CASE WHEN start > 0 THEN greatest(0, {KMER} - off) ELSE 0 END AS lost FROM carried)"""
+
 ORACLE_SQL = {
+    "lnk2_grades": f"{_GRADES} SELECT * FROM by_grade",
+    "lnk3_merged": f"""{_GRADES}, pal AS (SELECT contig_id FROM contigs WHERE seq = {Q.rc('seq')})
+        SELECT c1, s1, c2, s2, CAST(trunc(sum(gap * weight) / sum(weight)) AS BIGINT) AS gap, CAST(least(255, sum(weight)) AS INTEGER) AS weight, count(*) AS grades FROM by_grade WHERE c1 NOT IN (SELECT * FROM pal) AND c2 NOT IN (SELECT * FROM pal) GROUP BY 1, 2, 3, 4""",
+    "agg8_long_insert": f"{_PLACED.replace('least(length(r.seq), 32)', 'least(length(r.seq), greatest(35, length(r.seq) // 2 + 1))')} SELECT * FROM placed",
+    "win7_layout": f"WITH {_CONTIGS}, {_LAYOUT} SELECT scaf, ord, contig_id, strand, len, start FROM layout",
+    "snk15_reads_on_scaffolds": f"{_PLACED}, {_LAYOUT}, {_CARRIED} SELECT read_id, read_off, scaf, CAST(start + off + lost AS BIGINT) AS scaf_pos, CASE WHEN same THEN '+' ELSE '-' END AS strand, CAST(votes + {KMER - 1} - lost AS BIGINT) AS align_len FROM left_over WHERE votes + {KMER - 1} - lost > 0",
     "win5_contigs": f"WITH {_CONTIGS} SELECT contig_id, CAST(len AS INTEGER) AS len, md5(seq) AS seq_md5, len + {KMER} >= {UNIQUE} AS is_unique FROM contigs",
     "join7_index": f"WITH {_INDEX} SELECT contig_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum, count(*) FILTER (cfwd) AS forward FROM idx GROUP BY contig_id",
     "map2_placements": f"{_PLACED} SELECT * FROM placed",
