@@ -10,9 +10,12 @@ from seqloom.llm import labels, quality, toxicity
 from seqloom.llm.bpe import byte_bpe
 from seqloom.llm.common import table
 from seqloom.llm.decontaminate import leaks
+from seqloom.llm.filter_audit import filter_audit
 from seqloom.llm.fst import token_counts
 from seqloom.llm.idfiles import packed_ids
 from seqloom.llm.ppm import score_texts
+from seqloom.llm.prefix_trie import prefix_trie
+from seqloom.llm.secret_scan import joined, secret_spans
 from seqloom.llm.shards import pack_shards
 from seqloom.llm.simhash import near_duplicates
 from seqloom.llm.vectors import near_vectors
@@ -115,6 +118,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the fixed patterns' spans, and random strings by their tokens."""
+    found = secret_spans(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations' prefixes."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters take from each other, over all documents and orders."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -126,7 +147,42 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_vectors": op9_vectors,
     "op10_toxicity": op10_toxicity,
+    "op11_secrets": op11_secrets,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_filter_audit": op13_filter_audit,
 }
 
+#: crc32 of the decimal id, bit by bit: the reflected polynomial, all ones before and after.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+_TRIE = f"""WITH own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS nth, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT c, {_CRC.format('c')} % 4 AS h FROM (SELECT DISTINCT c FROM own)),
+    turns AS (SELECT k.c, nth, 0 AS own, role, text FROM convs k JOIN own o ON o.c = k.c - k.c % 20 AND nth <= h UNION ALL SELECT k.c, nth, 1, role, text FROM convs k JOIN own o USING (c) WHERE nth > h),
+    placed AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY own, nth) AS pos FROM turns),
+    ids AS (SELECT role, text, row_number() OVER () AS id FROM (SELECT DISTINCT role, text FROM turns)),
+    seqs AS (SELECT k.c, coalesce(list(id ORDER BY pos) FILTER (id IS NOT NULL), []) AS seq FROM convs k LEFT JOIN (SELECT c, pos, id FROM placed JOIN ids USING (role, text)) USING (c) GROUP BY k.c),
+    rows AS (SELECT c, len(seq) AS size, unnest(range(0, len(seq) + 1)) AS depth, seq FROM seqs),
+    pre AS (SELECT c, size, depth, seq[1:depth] AS p FROM rows),
+    nodes AS (SELECT p, depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = depth), '') AS ends FROM pre GROUP BY p, depth),
+    own_saved AS (SELECT n.*, (n_convs - 1) * coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')), 0) AS saved, NOT EXISTS (SELECT 1 FROM nodes k WHERE k.depth = n.depth + 1 AND k.p[1:n.depth] = n.p) AS leaf
+        FROM nodes n LEFT JOIN ids ON id = n.p[-1]),
+    sub AS (SELECT u.p[1:d] AS p, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves, count(*) FILTER (u.depth = d + 1) AS n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM own_saved) u GROUP BY 1)
+    SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+    FROM nodes n JOIN sub USING (p) LEFT JOIN nodes m ON m.depth = n.depth - 1 AND m.p = n.p[1:n.depth - 1]"""
+
+_AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    flags AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+        regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM d LEFT JOIN marks USING (doc_id)),
+    counts AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM flags GROUP BY part, f),
+    letters AS (SELECT unnest(range(1, 6)) AS i),
+    orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    steps AS (SELECT array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step, o[step] AS i, o[1:step - 1] AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+    cases AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, i, n, good, toxic, f[i] AS hit, len(list_filter(before, lambda j: f[j])) > 0 AS gone, len(list_filter(f, lambda x: x)) = 1 AS single FROM counts, steps),
+    sums AS (SELECT part, filter_order, step, i, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (hit AND single), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost FROM cases GROUP BY ALL)
+    SELECT * EXCLUDE (i), CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley FROM sums"""
+
 #: SQL for DuckDB, where it can express the operator.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": _TRIE, "op13_filter_audit": _AUDIT}
