@@ -248,12 +248,12 @@ def prefix_trie(conversations: DataFrame, subtree: int = SUBTREE, **columns: str
     rows, nodes = _verified(stored(rebuilt(conversations, **columns), "rebuilt"))
     small = nodes.where(F.col("below") <= subtree).select(*NODE)
     tops = rows.where("one").join(small, NODE).groupBy("c").agg(F.min(F.struct(*NODE)).alias("s")).select(F.col("c").alias("conv_id"), F.col("s.depth").alias("s_depth"), F.col("s.x1").alias("s1"), F.col("s.x2").alias("s2"))
-    # A node's least conversation is one of those that count.
-    nodes = cut(nodes.join(tops, "conv_id"))
+    # A node's least conversation is one of those that count; one that ends above all small subtrees has none.
+    nodes = cut(nodes.join(tops, "conv_id", "left"))
     closed = nodes.where("depth >= s_depth").repartition("s_depth", "s1", "s2").sortWithinPartitions("s_depth", "s1", "s2", "depth")
     names = "depth long, x1 long, x2 long, px1 long, px2 long, conv_id long, n_convs long, parent_conv_id long, above boolean, n_children long, n_leaves long, saved_tokens long"
     inner = cut(closed.select(*NODE, "px1", "px2", "conv_id", "n_convs", "words", "s_depth", "s1", "s2").mapInArrow(_shard, names))
-    upper = cut(_above(nodes.where("depth < s_depth"), inner.where("above and depth > 0")))
+    upper = cut(_above(nodes.where("s_depth is null or depth < s_depth"), inner.where("above and depth > 0")))
     parents = upper.select((F.col("depth") + 1).alias("depth"), F.col("x1").alias("px1"), F.col("x2").alias("px2"), F.col("conv_id").alias("over"))
     own = inner.where("not above").select(*upper.columns)
     linked = inner.where("above").drop("parent_conv_id").join(parents, ["depth", "px1", "px2"], "left").withColumnRenamed("over", "parent_conv_id").select(*upper.columns)

@@ -36,7 +36,7 @@ from seqloom.llm.common import map_text
 
 #: Kinds in the order in which spans that start together are listed; the last is the method's own.
 KINDS = ("assign", "access", "hex", "random")
-LEAST, RATIO, BLOCK = 16, 2.0, 512
+LEAST, RATIO, BLOCK = 16, 1.8, 512
 
 #: Fixed patterns of the base spans, and the least size of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)

@@ -72,7 +72,7 @@ def plain_random(text, base):
         uuid = re.fullmatch(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", run)
         number = set(run) <= set("0123456789+/_-")
         if size >= 16 and kinds > 1 and not (digest or uuid or number) and not any(a <= i and end <= b for a, _, b in base):
-            if len(run) < 2.0 * sum(len(lib.encode_ordinary(run[k : k + 512])) for k in range(0, len(run), 512)):
+            if len(run) < 1.8 * sum(len(lib.encode_ordinary(run[k : k + 512])) for k in range(0, len(run), 512)):
                 out.append((i, 3, end))
         i = end
     return out
