@@ -16,7 +16,8 @@ vector that its pairs connect it with; no pair is written out.
 Vectors that are null, empty, zero or hold null or non-finite components, and rows
 without a label, link with nothing: 0 links, a component of their own. Vectors of
 different lengths never link. Repeated rows count as vectors of their own. Rows without an
-id count as links of others but name no component unless all of it has none. An empty table
+id count as links of others but name no component (null if all of it has none) and aren't kept; rows that share an id but not
+their vector are vectors of their own, each with its own links. An empty table
 gives an empty result; other columns are left out, whatever their names.
 """
 
@@ -85,9 +86,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def nodes(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct usable vectors (label, v, node, copies), and (key, node) of every row, node null where unusable.
+    """Distinct usable vectors (label, v, node, copies, least), and (key, node) of every row, node null where unusable.
 
-    ``node`` is the least key of a distinct vector.
+    ``node`` is a number of its own for each distinct vector, ``least`` the least key of its rows: keys may repeat or be null.
     """
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -97,8 +98,8 @@ def nodes(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[DataFr
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     rows = rows.withColumn("hash", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
     rows = stored(rows, "vectors")
-    groups = rows.where("v is not null").groupBy("label", "hash").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
-    groups = stored(groups, "vector-nodes")
+    groups = rows.where("v is not null").groupBy("label", "hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    groups = stored(groups.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     members = rows.select("id", "label", "hash").join(groups.select("label", "hash", "node"), ["label", "hash"], "left").select("id", "node")
     return groups, members
 
@@ -196,14 +197,19 @@ def near_vectors(vectors: DataFrame, least: float, key: str = "vec_id", vector:
     found = stored(near_links(groups, least), "vector-links")
     linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))
     reached = connected_components(found, "node", "to")
-    known = groups.select("node", "copies").join(linked, "node", "left").join(reached, "node", "left").select(
+    known = groups.select("node", "copies", "least").join(linked, "node", "left").join(reached, "node", "left").select(
         "node",
+        "least",
         (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"),
+        F.coalesce("component", "node").alias("component"),
     )
+    # A component is named by the least key of all its rows.
+    names = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(names, "component").select("node", "n_links", "component_id")
+    own = F.coalesce("component_id", "id")
     return members.join(known, "node", "left").select(
         F.col("id").alias(key),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        (F.coalesce("component_id", "id") == F.col("id")).alias("kept"),
+        own.alias("component_id"),
+        F.coalesce(own == F.col("id"), F.lit(False)).alias("kept"),
     )

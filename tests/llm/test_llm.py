@@ -236,6 +236,26 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(df.limit(0), 0.93).count() == 0
 
 
+def test_vectors_of_repeated_and_missing_ids(spark):
+    r = np.random.default_rng(4)
+    a, b, c, d = (r.normal(size=8) for _ in range(4))
+    near = lambda v, s=0.01: v + r.normal(size=8) * s
+    rows = [(5, a, 1), (5, b, 1), (7, near(a), 1), (9, near(b), 1), (None, c, 1), (None, near(c), 1), (8, near(c), 1), (8, near(c), 1), (8, c, 2), (None, d, 1), (None, d, 1), (3, near(b), 1), (11, near(a), None), (2, None, 1)]
+    rows = [(i, None if v is None else [float(x) for x in v], l, 3) for i, v, l in rows]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links int"), 0.93).collect()
+    part, links = list(range(len(rows))), [0] * len(rows)
+    for i, (_, x, l, _) in enumerate(rows):
+        for j, (_, y, m, _) in enumerate(rows):
+            if i != j and x and y and l is not None and l == m and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93:
+                links[i] += 1
+                part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+    want = []
+    for i, (key, *_) in enumerate(rows):
+        name = min((rows[k][0] for k in range(len(rows)) if part[k] == part[i] and rows[k][0] is not None), default=None)
+        want.append((key, links[i], name, key is not None and name == key))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and sum(links) > 20
+
+
 def test_decontamination(spark):
     words = [f"w{i}" for i in range(400)]
     items = [(1, " ".join(words[:30])), (2, " ".join(words[100:160])), (3, "Only Three here"), (4, None), (5, " "), (6, "one two three four five")]
