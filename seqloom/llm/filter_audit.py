@@ -4,10 +4,11 @@ Five filters, A to E, are applied in each of their 120 orders; the audit says fo
 a part go, how many that fail were gone before, and what labelled documents are lost.
 
 * A, too few words, and B, too few distinct ones, are read off a sparse document-term matrix. Tasks cut batches of texts
-  into words and write them as CSR shards over the batch's own vocabulary; the vocabularies' union is numbered
-  once (the global dictionary), and each shard's columns are recoded by it. The sums of a shard's rows are documents'
-  words, the numbers of nonzeros their distinct words. The dictionary is joined, never broadcast; a word is one row for
-  each shard that has it, however often it occurs there.
+  into words and write them as CSR shards over the batch's own vocabulary. Vocabularies go to ``BUCKETS`` by a hash of the word,
+  a shard's words of a bucket in one row; each bucket numbers its distinct words, one bucket at a time in a task's memory, and
+  after those of the buckets before that is the global dictionary. The numbers go back to the shards, whose columns
+  are recoded by them. The sums of a shard's rows are documents' words, the numbers of nonzeros their
+  distinct words. A word is sent once for each shard that has it, however often it occurs there.
 * C, too many capitals, D, odd signs, and SHA-256 of the text come from the same pass over the texts; E, a copy of a text
   with a lesser id, from the least id of each digest.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import chain, permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import sized, stored
-from seqloom.operators.components import cut
 
 FILTERS = "ABCDE"
 #: A: under so many words. B: distinct words under so many percent. C: capitals over so many percent. D: signs.
@@ -41,19 +42,34 @@ MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 50, 65, 5
 SIGNS, CAPITALS = b"#$%&*|", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows and bytes of text of a shard of the matrix; a longer text is a shard of its own.
 SHARD_ROWS, SHARD_BYTES = 16_384, 8 << 20
+#: Buckets of the dictionary, by crc32 of the word.
+BUCKETS = 4096
 
 _DOC = "doc_id bigint, part string, capitals boolean, signs boolean, digest binary"
-_SHARD = f"shard bigint, docs array<struct<{_DOC.replace(' ', ':').replace(',:', ',')}>>, ends array<int>, columns array<int>, counts array<int>, vocabulary array<binary>"
+_SHARD = f"shard bigint, docs array<struct<{_DOC.replace(' ', ':').replace(',:', ',')}>>, ends array<int>, columns array<int>, counts array<int>, vocabulary array<struct<bucket:int,first:int,words:binary>>"
 
 
-def csr(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Row ends, columns and counts of a document-term matrix, and the word of each column."""
+def csr(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, bytes]]]:
+    """Row ends, columns and counts of a document-term matrix, and (bucket, its first column, its words) of its columns, by bucket."""
     words = [t.split() for t in texts]  # at ASCII white space
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     coded = pa.array(chain.from_iterable(words), pa.binary()).dictionary_encode()
-    width = max(1, len(coded.dictionary))
-    cells, counts = np.unique(np.repeat(np.arange(len(words)), sizes) * width + coded.indices.to_numpy(), return_counts=True)
-    return np.searchsorted(cells, np.arange(len(words) + 1) * width), cells % width, counts, coded.dictionary
+    names = coded.dictionary.to_pylist()
+    bucket = np.fromiter(map(crc32, names), np.int64, len(names)) % BUCKETS
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    width = max(1, len(names))
+    cells, counts = np.unique(np.repeat(np.arange(len(words)), sizes) * width + place[coded.indices.to_numpy()], return_counts=True)
+    starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    groups = zip(starts.tolist(), np.append(starts[1:], len(names)).tolist())
+    vocabulary = [(int(bucket[order[i]]), i, b" ".join(names[n] for n in order[i:j])) for i, j in groups]
+    return np.searchsorted(cells, np.arange(len(words) + 1) * width), cells % width, counts, vocabulary
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    """All values as one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,30 +85,39 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
         docs = pa.StructArray.from_arrays([b.column(0), b.column(1), *flags, digests], ["doc_id", "part", "capitals", "signs", "digest"])
         ends, columns, counts, words = csr(texts)
-        row = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32), kind))
+        words = pa.StructArray.from_arrays([pa.array([w[i] for w in words], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "first", "words"])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([number]), row(docs, None), *(row(x, pa.int32()) for x in (ends, columns, counts)), row(words, None)],
+            [pa.array([number]), _one(docs), *(_one(pa.array(x.astype(np.int32))) for x in (ends, columns, counts)), _one(words)],
             ["shard", "docs", "ends", "columns", "counts", "vocabulary"],
         )
         number += 1
     pa.default_memory_pool().release_unused()
 
 
-def dictionary(words: DataFrame, word: str = "word") -> DataFrame:
-    """(word, id): distinct words, numbered from 0 without gaps, in no order; no word goes through the driver."""
-    own = cut(words.select(word).distinct()).withColumn("at", F.monotonically_increasing_id())
-    part = F.shiftright("at", 33)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = own.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    at = own.withColumn("part", part).join(F.broadcast(offsets), "part")
-    return at.select(word, (F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of words inside their bucket; ``fresh`` are those that the bucket had not seen before, from number ``at`` on."""
+    bucket, known = None, {}
+    for b in batches:
+        rows = []
+        for of, own, first, words in zip(*(c.to_pylist() for c in b.columns)):
+            if own != bucket:
+                bucket, known = own, {}
+            words, at = words.split(b" "), len(known)
+            ranks = [known.setdefault(w, len(known)) for w in words]
+            rows.append((of, own, first, ranks, at, [w for w, r in zip(words, ranks) if r >= at]))
+        if rows:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["of", "bucket", "first", "ranks", "at", "fresh"])
 
 
 def _matrix(shard: pa.Table, codes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row ends, columns and counts of a shard over the global dictionary."""
     ends, local, counts = (shard[c].combine_chunks().flatten().to_numpy() for c in ("ends", "columns", "counts"))
-    ids = np.empty(codes.num_rows, np.int64)
-    ids[codes["local"].to_numpy()] = codes["id"].to_numpy()
+    ranks = codes["ranks"].combine_chunks()
+    sizes = np.diff(ranks.offsets.to_numpy())
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ids = np.empty(sizes.sum(), np.int64)
+    ids[np.repeat(codes["first"].to_numpy(), sizes) + within] = np.repeat(codes["upto"].to_numpy(), sizes) + ranks.flatten().to_numpy()
     return ends, ids[local], counts
 
 
@@ -108,23 +133,25 @@ def _measured(shard: pa.Table, codes: pa.Table) -> pa.Table:
 
 
 def _csr_table(shard: pa.Table, codes: pa.Table) -> pa.Table:
-    ends, columns, counts = _matrix(shard, codes)
     docs = shard["docs"].combine_chunks().flatten().field("doc_id")
-    row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x)
-    return pa.Table.from_arrays([shard["shard"], row(docs), row(ends), row(columns), row(counts)], ["shard", "doc_ids", "ends", "columns", "counts"])
+    return pa.Table.from_arrays([shard["shard"], _one(docs), *(_one(pa.array(x)) for x in _matrix(shard, codes))], ["shard", "doc_ids", "ends", "columns", "counts"])
 
 
 def _coded(docs: DataFrame, key: str, text: str, part: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Shards over their own vocabularies, the global dictionary, and (of, local, id) of every shard's words."""
+    """Shards over their own vocabularies, the global dictionary, and (of, first, ranks, upto): the numbers of a shard's words of a bucket."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     shards = stored(rows.mapInArrow(_shards, _SHARD), "csr")
-    words = shards.select(F.col("shard").alias("of"), F.posexplode("vocabulary").alias("local", "word"))
-    known = dictionary(words)
-    return shards.drop("vocabulary"), known, words.join(known, "word").select("of", "local", "id")
+    words = shards.select(F.col("shard").alias("of"), F.inline("vocabulary")).repartition("bucket").sortWithinPartitions("bucket", "of")
+    ranked = stored(words.mapInArrow(_ranks, "of bigint, bucket int, first int, ranks array<int>, at int, fresh array<binary>"), "dictionary")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    sizes = ranked.groupBy("bucket").agg(F.sum(F.size("fresh")).alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("upto"))
+    ranked = ranked.join(F.broadcast(sizes), "bucket")  # BUCKETS rows at most
+    known = ranked.select(F.posexplode("fresh").alias("i", "word"), (F.col("upto") + F.col("at")).alias("id")).select("word", (F.col("id") + F.col("i")).alias("id"))
+    return shards.drop("vocabulary"), known, ranked.select("of", "first", "ranks", "upto")
 
 
 def document_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The document-term matrix in CSR shards (shard, doc_ids, ends, columns, counts), and its dictionary (word, id)."""
+    """The document-term matrix in CSR shards (shard, doc_ids, ends, columns, counts), and its dictionary (word, id), numbered from 0 without gaps."""
     shards, known, codes = _coded(docs, key, text, part)
     found = shards.groupBy("shard").cogroup(codes.groupBy("of")).applyInArrow(lambda a, b: _csr_table(a, b), "shard bigint, doc_ids array<bigint>, ends array<int>, columns array<bigint>, counts array<int>")
     return found, known
