@@ -89,10 +89,46 @@ def _lcs(a: str, b: str) -> np.ndarray:
     return t
 
 
+#: Cells of the alignment tables of pairs that are worked out together.
+LCS_CELLS = 1 << 22
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Longest common subsequence lengths of many pairs: one row of all their tables at a time, pairs of like lengths together."""
+    out = np.zeros(len(a), np.int32)
+    order = sorted(range(len(a)), key=lambda n: (len(b[n]), len(a[n])))
+    at = 0
+    while at < len(order):
+        part = order[at : at + max(1, LCS_CELLS // (len(b[order[at]]) + 1))]
+        part = [n for n in part if len(b[n]) <= len(b[part[0]]) + 16]
+        at += len(part)
+        wide = max(len(b[n]) for n in part)
+        y = np.full((len(part), wide), 0xFFFFFFFF, np.uint32)  # no letter
+        for i, n in enumerate(part):
+            y[i, : len(b[n])] = np.frombuffer(b[n].encode("utf-32-le", "surrogatepass"), np.uint32)
+        left = sorted(range(len(part)), key=lambda i: -len(a[part[i]]))
+        x = [np.frombuffer(a[part[i]].encode("utf-32-le", "surrogatepass"), np.uint32) for i in left]
+        y, row = y[left], np.zeros((len(part), wide + 1), np.int32)
+        live = len(part)
+        for i in range(len(x[0])):  # the longest first: pairs that are done are at the end
+            while live and len(x[live - 1]) <= i:
+                live -= 1
+            c = np.array([s[i] for s in x[:live]], np.uint32)
+            step = np.maximum(row[:live, 1:], row[:live, :-1] + (y[:live] == c[:, None]))
+            row[:live, 1:] = np.maximum.accumulate(step, 1)
+        for i, r in zip(left, row[:, -1]):
+            out[part[i]] = r
+    return out
+
+
 @F.pandas_udf(IntegerType())
 def lcs_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """Alignment score: 1 a match, 0 a mismatch or gap. Null if either is."""
-    return pd.Series([None if x is None or y is None else int(_lcs(x, y)[-1, -1]) for x, y in zip(a, b)], dtype="Int32")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series(pd.NA, index=a.index, dtype="Int32")
+    if known.any():
+        out[known] = lcs_lengths(a[known].tolist(), b[known].tolist())
+    return out
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -11,6 +11,8 @@ Lineage is cut by a checkpoint in shared storage each round.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once into the shared checkpoint folder: cuts lineage, survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="seqloom-"))
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: set it to a folder that driver and executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="seqloom-"))  # a single machine, as in tests
     return df.checkpoint(eager=True)
 
 

@@ -9,6 +9,8 @@ and are dropped.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,10 +150,10 @@ def tips(kmers: DataFrame, k: int, single: bool = False) -> DataFrame:
     return found.distinct()
 
 
-def without_tips(kmers: DataFrame, k: int, rounds: int = 3, single: bool = False) -> DataFrame:
-    """Rounds of tip removal, until none is left or ``rounds`` are done."""
+def without_tips(kmers: DataFrame, k: int, rounds: int | None = None, single: bool = False) -> DataFrame:
+    """Rounds of tip removal until none is left (each takes a k-mer away), or just the first ``rounds``."""
     kmers = cut(kmers)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         found = cut(tips(kmers, k, single))
         if found.isEmpty():
             break

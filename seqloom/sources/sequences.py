@@ -26,13 +26,15 @@ BLOCK = 1 << 16
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, name, seq) of FASTA records of one or many lines; '#' lines are skipped. A '>' begins a record at a line's start only."""
+    """(file, ord, name, seq) of FASTA records of one or many lines; '#' lines are skipped. A '>' begins a record at a line's start only; its name may be empty."""
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
     first = F.regexp_replace("value", "^(#[^\n]*\n)*>", "")  # the file's first record has its sign still
     lines = F.filter(F.split(first, "\r?\n"), lambda x: ~x.startswith("#"))
-    rows = raw.select("file", "at", F.get(lines, F.lit(0)).alias("name"), F.array_join(F.slice(lines, 2, 1 << 30), "").alias("seq")).where("name <> ''")
+    signed = F.regexp_like("value", F.lit("^(#[^\n]*\n)*>"))
+    rows = raw.select("file", "at", signed.alias("signed"), F.get(lines, F.lit(0)).alias("name"), F.array_join(F.slice(lines, 2, 1 << 30), "").alias("seq"))
     rows = rows.withColumn("name", F.split("name", r"\s")[0])
-    return placed(rows, "file", "at", "ord").select("file", "ord", "name", "seq")
+    # A file without a record, or what stands before its first, is a first piece without a sign.
+    return placed(rows, "file", "at", "ord").where("ord > 0 or signed").select("file", "ord", "name", "seq")
 
 
 def placed(rows: DataFrame, file: str, at: str, name: str) -> DataFrame:
@@ -104,10 +106,10 @@ def read_bam(spark: SparkSession, path: str, pairs: bool = True) -> DataFrame:
 
 
 def interleaved(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(read_id, mate, seq): mates of two files by their place; ids 2n + 1 and 2n + 2."""
-    both = one.select("ord", F.col("seq").alias("s1")).join(two.select("ord", F.col("seq").alias("s2")), "ord")
+    """(read_id, mate, seq): mates of two files by their place; ids 2n + 1 and 2n + 2. A read without a mate stays, alone."""
+    both = one.select("ord", F.col("seq").alias("s1")).join(two.select("ord", F.col("seq").alias("s2")), "ord", "full")
     mates = F.explode(F.array(F.struct(F.lit(1).alias("mate"), F.col("s1").alias("seq")), F.struct(F.lit(2).alias("mate"), F.col("s2").alias("seq"))))
-    return both.select("ord", mates.alias("m")).select((F.col("ord") * 2 + F.col("m.mate")).alias("read_id"), "m.mate", "m.seq")
+    return both.select("ord", mates.alias("m")).where("m.seq is not null").select((F.col("ord") * 2 + F.col("m.mate")).alias("read_id"), "m.mate", "m.seq")
 
 
 def write_fasta(df: DataFrame, path: str, name: str, seq: str, width: int = 100) -> None:
