@@ -13,18 +13,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once into the shared checkpoint folder: cuts lineage, survives lost executors."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share (``spark.checkpoint.dir``)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         base = sc.getConf().get("spark.checkpoint.dir")
         if not base and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir isn't set: set it to a folder that driver and executors share")
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="seqloom-"))  # a single machine, as in tests
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once into the shared checkpoint folder: cuts lineage, survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
