@@ -28,13 +28,16 @@ BLOCK = 1 << 16
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(file, ord, name, seq) of FASTA records of one or many lines; '#' lines are skipped. A '>' begins a record at a line's start only; its name may be empty."""
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    first = F.regexp_replace("value", "^(#[^\n]*\n)*>", "")  # the file's first record has its sign still
+    first = F.regexp_replace("value", "^>", "")  # a file's first record has its sign still, unless comments stand before
     lines = F.filter(F.split(first, "\r?\n"), lambda x: ~x.startswith("#"))
-    signed = F.regexp_like("value", F.lit("^(#[^\n]*\n)*>"))
+    signed = F.col("value").startswith(">")
     rows = raw.select("file", "at", signed.alias("signed"), F.get(lines, F.lit(0)).alias("name"), F.array_join(F.slice(lines, 2, 1 << 30), "").alias("seq"))
     rows = rows.withColumn("name", F.split("name", r"\s")[0])
-    # A file without a record, or what stands before its first, is a first piece without a sign.
-    return placed(rows, "file", "at", "ord").where("ord > 0 or signed").select("file", "ord", "name", "seq")
+    rows = placed(rows, "file", "at", "ord")
+    # What stands before a file's first record (comments, or all of a file without any) is a piece without a sign.
+    none = F.broadcast(rows.where("ord = 0 and not signed").select("file", F.lit(1).alias("skip")))  # a row a file
+    rows = rows.join(none, "file", "left").where("ord > 0 or signed")
+    return rows.select("file", (F.col("ord") - F.coalesce("skip", F.lit(0))).alias("ord"), "name", "seq")
 
 
 def placed(rows: DataFrame, file: str, at: str, name: str) -> DataFrame:

@@ -26,6 +26,17 @@ def test_fasta(spark, tmp_path):
     assert got == {"a": "ACGT" * 60, "b": "GG"}
 
 
+def test_fasta_records_without_a_name_or_a_mate(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("#c\n>\nACGT\n>b\nGG\n>\n>c\nTT\n")
+    (tmp_path / "b.fa").write_text("#only\n#comments\n")
+    (tmp_path / "c.fa").write_text(">x\nCC\n")
+    read = lambda n: Q.read_fasta(spark, str(tmp_path / n))
+    assert [(r.ord, r.name, r.seq) for r in read("a.fa").orderBy("ord").collect()] == [(0, "", "ACGT"), (1, "b", "GG"), (2, "", ""), (3, "c", "TT")]
+    assert read("b.fa").count() == 0
+    got = Q.interleaved(read("a.fa"), read("c.fa")).orderBy("read_id").collect()
+    assert [(r.read_id, r.seq) for r in got] == [(1, "ACGT"), (2, "CC"), (3, "GG"), (5, ""), (7, "TT")]
+
+
 def test_fastq_pairs(spark, tmp_path):
     for n, s in (("1", "ACGT"), ("2", "TTGG")):
         (tmp_path / f"{n}.fq").write_text("".join(f"@r{i}/{n}\n{s * (i + 1)}\n+\n{'I' * 4 * (i + 1)}\n" for i in range(3)))
