@@ -55,6 +55,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans whose results are stored: it does when the driver collects its garbage, else every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     while name in df.columns:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.chunks import ChunkMemo
-from seqloom.llm.common import free, kept, map_text, stored
+from seqloom.llm.common import discard, free, kept, map_text, scratch, stored, sweep
 from seqloom.llm.simhash import PART, near_links
 from seqloom.operators.components import connected_components
 
@@ -167,8 +167,8 @@ def prefix_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
     return x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, digest, component, kept): the near-duplicate group, by its least id, of each distinct id and text; which one of it stays."""
+def _viewed(named: DataFrame, path: str) -> DataFrame:
+    """(id, digest, fps, whole, rare, shingles) of every row, written to ``path``."""
 
     def views():
         words, (hot, times) = kept("near views", WordViews), shared.value
@@ -184,12 +184,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
         return run
 
-    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.unhex(F.md5(plain.cast("binary"))).alias("digest"), plain.alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(named))
-    marked = stored(map_text(named, ["id", "digest"], "text", "fps array<long>, whole long, rare int, shingles array<int>", views, "bytes"), "near-views")
-    nodes = marked.withColumn("n", F.size("shingles")).groupBy("digest").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("fps", "whole", "n")))
-    nodes = stored(nodes.withColumn("node", F.xxhash64("digest")), "near-nodes")
+    shared = named.sparkSession.sparkContext.broadcast(frequent(named))
+    marked = map_text(named, ["id", "digest"], "text", "fps array<long>, whole long, rare int, shingles array<int>", views, "bytes")
+    marked.write.parquet(path)
+    return named.sparkSession.read.schema(marked.schema).parquet(path)
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose word fingerprints are near in some view and whose shingle fingerprints may be."""
     seen = nodes.where("n > 0").select("node", F.posexplode("fps").alias("view", "fp")).withColumn("view", F.col("view").cast("byte"))
     centres = stored(seen.groupBy("view", "fp").agg(F.min("node").alias("centre")), "near-centres")
     same = seen.join(centres, ["view", "fp"]).select(F.col("node").alias("x"), F.col("centre").alias("y"))
@@ -199,17 +201,42 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     pairs = same.unionByName(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     about = lambda c: nodes.select(F.col("node").alias(c), F.col("whole").alias(f"w{c}"))
     pairs = pairs.join(about("a"), "a").join(about("b"), "b").where(F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= FAR)
-    pairs = stored(pairs.select("a", "b"), "near-pairs")
-    # A text's shingles are taken from its row of least id.
+    return stored(pairs.select("a", "b"), "near-pairs")
+
+
+def _distinct_texts(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's (id, digest); a node for each text; its shingles, from its row of least id."""
+    rows = stored(marked.select("id", "digest").distinct(), "near-rows")
+    nodes = marked.withColumn("n", F.size("shingles")).groupBy("digest").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("fps", "whole", "n")))
+    nodes = stored(nodes.withColumn("node", F.xxhash64("digest")), "near-nodes")
     own = small(nodes.select("node", F.col("least").alias("id"), "digest"))
-    sets = stored(marked.join(own, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("node", "rare", F.size("shingles").alias("n"), "shingles"), "near-sets")
+    sets = marked.join(own, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("node", "rare", F.size("shingles").alias("n"), "shingles")
+    return rows, nodes, stored(sets, "near-sets")
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, digest, component, kept): the near-duplicate group, by its least id, of each distinct id and text; which one of it stays.
+
+    Shuffle files and tables of a step that is written out are removed before the next one.
+    """
+    spark = docs.sparkSession
+    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.unhex(F.md5(plain.cast("binary"))).alias("digest"), plain.alias("text"))
+    views = scratch(spark, "near-views")
+    rows, nodes, sets = _distinct_texts(_viewed(named, views))
+    discard(spark, views)
+    sweep(spark)
+    pairs = _met(nodes)
+    sweep(spark)
     true = stored(_verified(pairs, sets), "near-true")
+    sweep(spark)
     rest = stored(prefix_pairs(sets, stored(connected_components(true), "near-parts")), "near-rest")
+    sweep(spark)
     parts = connected_components(true.unionByName(_verified(rest, sets)))
     of_text = nodes.join(parts, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("part"))
     first = of_text.groupBy("part").agg(F.min(F.struct("least", "digest")).alias("first"))
     of_text = of_text.join(first, "part").select("digest", "first")
-    found = marked.select("id", "digest").distinct().join(of_text, "digest")
+    found = rows.join(of_text, "digest")
     return found.select(
         F.nullif("id", F.lit(NO_ID)).alias("id"), "digest", F.nullif("first.least", F.lit(NO_ID)).alias("component"), (F.struct(F.col("id").alias("least"), "digest") == F.col("first")).alias("kept")
     )
