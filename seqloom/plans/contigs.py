@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.seq import normalize, unpack
+from seqloom.operators import bubbles as B
 from seqloom.operators import contigs as C
 from seqloom.operators import edges as E
 from seqloom.operators import kmers as K
+from seqloom.operators import routes as R
 from seqloom.operators import unitigs as U
 from seqloom.operators.components import cut
 from seqloom.plans import sql as Q
@@ -22,14 +24,23 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.length("seq") >= SIZE + 1)
 
 
+def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns, and every third one once more with its middle base changed, as from a second allele: a bubble each."""
+    t = turns(spark, sf_dir)
+    half = F.expr("cast(length(seq) div 2 as int)")
+    other = F.concat(F.left("seq", half), F.translate(F.substring(F.col("seq"), half + 1, F.lit(1)), "ACTG", "CAGT"), F.substring(F.col("seq"), half + 2, F.lit(1 << 30)))
+    return t.unionByName(t.where("read_id % 3 = 0").select((-F.col("read_id") - 1).alias("read_id"), "lib_id", other.alias("seq")))
+
+
 def _table(spark, sf_dir) -> DataFrame:
     return cut(K.kmer_table(turns(spark, sf_dir), SIZE))
 
 
-def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    t = _table(spark, sf_dir)
+def _graph(spark, sf_dir, reads=turns) -> tuple[DataFrame, DataFrame, DataFrame]:
+    own = reads(spark, sf_dir)
+    t = cut(K.kmer_table(own, SIZE))
     edges, nodes = U.edge_table(t, SIZE)
-    paths = cut(U.read_paths(K.occurrences(turns(spark, sf_dir), SIZE), t, edges, nodes))
+    paths = cut(U.read_paths(K.occurrences(own, SIZE), t, edges, nodes))
     return edges, paths, cut(U.edge_arcs(paths, edges))
 
 
@@ -120,6 +131,33 @@ def g14_graph_joins(spark, sf_dir):
     return C.joins(a, C.spelled(e, U.oriented(e)))
 
 
+def _two_alleles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e, _, a = _graph(spark, sf_dir, alleles)
+    return cut(C.spelled(e, U.oriented(e))), a
+
+
+def g6_bubble_pairs(spark, sf_dir):
+    """Paths of several edges that a faster path may take up (G-6, FN-13): shortest times and alignments over the whole graph, first round."""
+    found = B.pairs(B.labels(*_two_alleles(spark, sf_dir), SIZE), SIZE)
+    name = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("s", "t", name("slow"), name("fast"), "weight", "size", "weak")
+
+
+def g6_pinched(spark, sf_dir):
+    """Edges of the graph after all bubbles are merged (G-6, G-6a)."""
+    edges, _ = B.pinched(*_two_alleles(spark, sf_dir), SIZE)
+    return edges.select("oe", "len", "cvg10", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+def path2_arc_routes(spark, sf_dir):
+    """Routes of up to 4 arcs between edges that two arcs join (PATH-2), with their number."""
+    e, _, a = _graph(spark, sf_dir)
+    two = a.select(F.col("e1").alias("a"), F.col("e2").alias("m")).join(a.select(F.col("e1").alias("m"), F.col("e2").alias("b")), "m")
+    searches = two.select("a", "b").distinct().select(F.struct("a", "b").alias("search"), "a", "b", F.lit(10).alias("low"), F.lit(40).alias("high"))
+    found = R.limited(R.arc_routes(searches, a, U.oriented(e).select(F.col("oe").alias("e"), "len"), 4))
+    return found.select("search.a", "search.b", F.array_join(F.col("route").cast("array<string>"), ",").alias("route"), "length", F.col("n_routes"))
+
+
 def _contigs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e, _, a = _graph(spark, sf_dir)
     return C.cleaned(C.spelled(e, U.oriented(e)), a, SIZE, weak10=0, floor=1)
@@ -137,10 +175,12 @@ def snk7_contig_arcs(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     snk2_edges, snk3_vertices, snk3_graph_stats, g2_single_tips, g3_minor_tips, flt5_unlinked, g5_read_paths, snk4_arcs, g7_weak_edges, g8_graph_tips, g9_graph_arcs, g10_graph_arcs, g11_graph_loops, g13_graph_short,
-    g14_graph_joins, snk5_contigs, snk7_contig_arcs,
+    g14_graph_joins, g6_bubble_pairs, g6_pinched, path2_arc_routes, snk5_contigs, snk7_contig_arcs,
 )}
 
 _READS = f"reads AS (SELECT * FROM (SELECT conv_id * 1000 + turn AS read_id, role AS lib_id, {Q.norm('text')} AS seq FROM conversations) WHERE length(seq) >= {SIZE + 1})"
+_ALLELES = f"""{_READS.replace('reads AS', 'plain AS', 1)}, reads AS (SELECT * FROM plain UNION ALL
+    SELECT -read_id - 1, lib_id, left(seq, length(seq) // 2) || translate(substr(seq, length(seq) // 2 + 1, 1), 'ACTG', 'CAGT') || substr(seq, length(seq) // 2 + 2) FROM plain WHERE read_id % 3 = 0)"""
 _COMP = "CASE {0} WHEN 'A' THEN 'T' WHEN 'C' THEN 'G' WHEN 'T' THEN 'A' WHEN 'G' THEN 'C' END"
 _TURN = "left({0}, length({0}) - 1) || CASE WHEN right({0}, 1) = '+' THEN '-' ELSE '+' END"
 _KM = "left({0}, length({0}) - 1)"
@@ -182,6 +222,23 @@ _ARCS = f"""{_PATHS},
     sides AS (SELECT e1, e2, count(*) AS m FROM two WHERE e2 IS NOT NULL GROUP BY e1, e2),
     both_ways AS (SELECT * FROM sides UNION ALL SELECT {_TWIN.format('b')}, {_TWIN.format('a')}, m FROM sides JOIN oe a ON a.oe = e1 JOIN oe b ON b.oe = e2),
     arcs AS MATERIALIZED (SELECT e1, e2, CAST(sum(m) AS BIGINT) AS multiplicity FROM both_ways JOIN oe a ON a.oe = e1 JOIN oe b ON b.oe = e2 WHERE a.dst = b.src GROUP BY e1, e2)"""
+#: Labels of bubbles: rounds of label correction written out, three edges a path.
+_LABELS = f"""{_ARCS},
+    spelled AS (SELECT oe.oe, oe.len, oe.cvg10, substr(CASE WHEN oe.oe % 2 = 0 THEN e.seq ELSE {Q.rc('e.seq')} END, {SIZE + 1}) AS own FROM oe JOIN edges e ON e.edge_id = oe.oe // 2
+        WHERE NOT oe.is_palindrome AND oe.oe // 2 NOT IN (SELECT e1 // 2 FROM arcs WHERE e1 // 2 = e2 // 2)),
+    step AS MATERIALIZED (SELECT e1, e2, multiplicity AS m, x.len AS len1, x.cvg10 AS cvg1, x.own AS own1, x.len / multiplicity AS took FROM arcs JOIN spelled x ON x.oe = e1 JOIN spelled y ON y.oe = e2),
+    l0 AS (SELECT e1 AS s, e2 AS first, e2 AS at_, took AS time, [e2] AS path, '' AS letters, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS weight, m AS weak, true AS fresh FROM step WHERE e1 IN (SELECT e1 FROM step GROUP BY e1 HAVING count(*) > 1)),
+    """ + ", ".join(f"""l{r} AS MATERIALIZED (SELECT * FROM (SELECT * REPLACE (false AS fresh) FROM l{r - 1} UNION ALL
+        SELECT s, first, e2, time + took, list_append(path, e2), letters || own1, size + len1, weight + len1 * cvg1, least(weak, m), true FROM l{r - 1} JOIN step ON e1 = at_
+        WHERE fresh AND size + len1 <= 100 AND e2 // 2 <> s // 2 AND NOT list_contains(list_transform(path, lambda x: x // 2), e2 // 2)) QUALIFY row_number() OVER (PARTITION BY s, first, at_ ORDER BY time, path) = 1)""" for r in (1, 2, 3))
+#: Longest common subsequence of x and y: a row of its table for each letter of x, as lists of numbers.
+_LCS = """list_last(list_reduce(list_prepend(list_transform(range(0, length(y) + 1), lambda i: CAST(0 AS INTEGER)), list_transform(string_split(x, ''), lambda c: [CAST(ascii(c) AS INTEGER)])),
+    lambda row, c: list_reduce(list_prepend([0], list_transform(range(1, length(y) + 1), lambda j: [greatest(row[j + 1], row[j] + CAST(ascii(substr(y, j, 1)) = c[1] AS INTEGER))])), lambda done, v: list_append(done, greatest(list_last(done), v[1])))))"""
+_BUBBLES = f"""{_LABELS}, met AS (SELECT *, path[1:len(path) - 1] AS inner_ FROM l3 WHERE len(path) > 1),
+    top AS (SELECT *, first_value(first) OVER w AS first_, first_value(inner_) OVER w AS fast_, first_value(letters) OVER w AS y FROM met WINDOW w AS (PARTITION BY s, at_ ORDER BY time, path)),
+    apart AS (SELECT *, letters AS x, greatest(length(letters), length(y)) AS longest FROM top WHERE first <> first_ AND NOT list_has_any(list_transform(inner_, lambda v: v // 2), list_transform(fast_, lambda v: v // 2))
+        AND abs(length(letters) - length(y)) <= 2 AND least(length(letters), length(y)) >= {SIZE - 1}),
+    scored AS (SELECT *, {_LCS} AS score FROM apart)"""
 _GONE = " , ".join(f"CASE WHEN list_contains(lost, '{c}') THEN 0 ELSE {c} END AS {c}" for c in K.LINKS)
 
 ORACLE_SQL = {
@@ -195,6 +252,13 @@ ORACLE_SQL = {
         SELECT km, cnt, {_GONE} FROM kmers LEFT JOIN lost USING (km) WHERE km NOT IN (SELECT km FROM doomed)""",
     "g5_read_paths": f"{_PATHS} SELECT read_id, CAST(j AS INTEGER) AS j, oe FROM paths",
     "snk4_arcs": f"{_ARCS} SELECT * FROM arcs",
+    "g6_bubble_pairs": f"""{_BUBBLES.replace(_READS, _ALLELES)} SELECT s, at_ AS t, array_to_string(inner_, ',') AS slow, array_to_string(fast_, ',') AS fast, weight, size, weak FROM scored WHERE score >= longest - 2 AND 1 - score / longest <= 0.10""",
+    "path2_arc_routes": f"""{_ARCS}, hops AS MATERIALIZED (SELECT e1, e2, len FROM arcs JOIN oe ON oe.oe = e2),
+        walks AS (SELECT DISTINCT x.e1 AS a, y.e2 AS b, x.e1 AS at_, CAST([] AS BIGINT[]) AS route, CAST(0 AS BIGINT) AS length, 0 AS n FROM arcs x JOIN arcs y ON x.e2 = y.e1 WHERE x.e1 <> y.e2
+            UNION ALL SELECT a, b, e2, CASE WHEN n = 0 THEN route ELSE list_append(route, at_) END, length + CASE WHEN n = 0 THEN 0 ELSE (SELECT max(oe.len) FROM oe WHERE oe.oe = at_) END, n + 1 FROM walks JOIN hops ON e1 = at_
+            WHERE n < 4 AND length + CASE WHEN n = 0 THEN 0 ELSE (SELECT max(oe.len) FROM oe WHERE oe.oe = at_) END <= 40 AND (n = 0 OR length < 40)),
+        done AS (SELECT a, b, route, length, count(*) OVER (PARTITION BY a, b) AS n_routes, row_number() OVER (PARTITION BY a, b ORDER BY route) AS nth FROM walks WHERE n > 0 AND at_ = b AND length >= 10)
+        SELECT a, b, array_to_string(route, ',') AS route, length, n_routes FROM done WHERE nth <= 4""",
     "g7_weak_edges": f"{_EDGES} SELECT oe AS edge_id, CAST(len AS INTEGER) AS len, cvg10 FROM oe WHERE cvg10 > 20",
     "g8_graph_tips": f"""{_EDGES}, i AS (SELECT dst AS n, max(cvg10) AS top FROM oe GROUP BY 1), o AS (SELECT src AS n, max(cvg10) AS top FROM oe GROUP BY 1)
         SELECT oe AS edge_id, CAST(len AS INTEGER) AS len, cvg10 FROM oe e LEFT JOIN i i1 ON i1.n = e.src LEFT JOIN i i2 ON i2.n = e.dst LEFT JOIN o o1 ON o1.n = e.src LEFT JOIN o o2 ON o2.n = e.dst
