@@ -1,8 +1,8 @@
 """Sequence files as tables, and tables as sequence files.
 
 FASTA records are read through Spark's own text source with a line that begins with '>' as the separator, so
-large files split. FASTQ needs four lines a record, so a file is read in order by one task; many
-files run side by side. BAM files are decoded a file a task, from their BGZF blocks.
+large files split. FASTQ lines are read by the same source and told apart by their place in the file. BAM files are decoded
+a file a task, from their BGZF blocks.
 All give (file, ord, name, seq); ord is the place in the file, from 0.
 """
 
@@ -52,16 +52,16 @@ def placed(rows: DataFrame, file: str, at: str, name: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, name, seq) of FASTQ records; qualities are not kept."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                lines = r.content.decode().splitlines()
-                yield pd.DataFrame({"file": r.path, "ord": range(len(lines) // 4), "name": [x[1:].split()[0] for x in lines[0 : len(lines) // 4 * 4 : 4]], "seq": lines[1 : len(lines) // 4 * 4 : 4]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, ord long, name string, seq string")
+    """(file, ord, name, seq) of FASTQ records of four lines; qualities are not kept, nor is an unfinished last record.
+
+    Lines are read by Spark's own text source, so large files split: a line's place in its file says what it is, however its split began.
+    """
+    raw = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = placed(raw, "file", "at", "line").withColumn("part", F.col("line") % 4)
+    of = lambda n: F.max(F.when(F.col("part") == n, F.col("value")))
+    records = lines.where("part < 2 or part = 3").groupBy("file", F.expr("line div 4").alias("ord"))
+    rows = records.agg(of(0).alias("name"), of(1).alias("seq"), F.count_if(F.col("part") == 3).alias("ends")).where("ends = 1")
+    return rows.select("file", "ord", F.split(F.substring("name", 2, 1 << 20), r"\s")[0].alias("name"), "seq")
 
 
 def bam_records(data: bytes) -> Iterator[tuple[str, int, str]]:

@@ -45,6 +45,20 @@ def test_fastq_pairs(spark, tmp_path):
     assert got[:3] == [(1, 1, "ACGT"), (2, 2, "TTGG"), (3, 1, "ACGTACGT")] and len(got) == 6
 
 
+def test_fastq_of_many_splits(spark, tmp_path):
+    # Qualities that look like names or separators, ends of both kinds, an unfinished record.
+    records = [(f"r{i} x", "ACGT" * (i % 7 + 1), "@+@+" * (i % 7 + 1)) for i in range(3000)]
+    (tmp_path / "a.fq").write_bytes("".join(f"@{n}\n{s}\n+{n if i % 3 else ''}\n{q}{chr(13) if i % 2 else ''}\n" for i, (n, s, q) in enumerate(records)).encode() + b"@last\nACGT\n+\n")
+    (tmp_path / "b.fq").write_text("@one\nAC\n+\nII\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert spark.read.text(str(tmp_path / "a.fq")).rdd.getNumPartitions() > 10
+        got = Q.read_fastq(spark, str(tmp_path)).orderBy("file", "ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.ord, r.name, r.seq) for r in got] == [(i, f"r{i}", s) for i, (_, s, _) in enumerate(records)] + [(0, "one", "AC")]
+
+
 def test_reads_of_a_configuration(spark, tmp_path):
     (tmp_path / "a.fa").write_text("#c\n>a len>5 x\nACGTACGTAC\nGTAC\n>b\nGGGG\n" + "".join(f">n{i}\n{'ACTG' * 5}\n" for i in range(50)))
     (tmp_path / "1.fq").write_text("@r/1\nAACCGGTTAACCGGTT\n+\nIIII\n")
