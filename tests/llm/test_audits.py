@@ -269,3 +269,11 @@ def test_the_matrix_holds_each_words_count(spark):
         for i, (a, b) in zip(r.doc_ids, zip(r.ends, r.ends[1:])):
             found[i] = {name[c]: n for c, n in zip(r.columns[a:b], r.counts[a:b])}
     assert found == {0: {"a": 2, "b": 1}, 1: {}, 2: {"b": 3, "c": 1}, 3: {}, 4: {"zz": 1}}
+
+
+def test_all_queries_are_registered():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert [next((x for x in names if x.startswith(f"op{n}_")), None) for n in range(1, 14)].count(None) == 0 and "pipeline" in names
+    assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
