@@ -6,7 +6,7 @@ from oracle import differences, expected
 from seqloom.plans import catalog
 
 #: Heavy chains of iterations; the graph tests cover them on small inputs.
-SLOW = {"t12_transcripts", "gap7_rendered", "gap7_agp", "g4_unitigs", "g3_tips", "g6_bubbles", "snk5_contigs", "snk7_contig_arcs"}
+SLOW = {"t12_transcripts", "gap7_rendered", "gap7_agp", "g4_unitigs", "g3_tips", "g6_bubbles", "snk5_contigs", "snk7_contig_arcs", "g6_pinched", "t1_expression", "t1_transcripts"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
