@@ -140,26 +140,31 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(node, part, n, pos, code): of the first shingles of each set (node, part, n, rare, shingles), those that other parts have too."""
+    """(node, part, n, pos, code): of the first shingles of each set (node, component, n, rare, shingles), those that other parts have too.
+
+    ``part`` is the component, or the node itself where that is null.
+    """
     first = F.col("n") - F.ceil(LEAST * F.col("n") - 1e-9).cast("int") + 1
-    rare = sets.select("node", "part", "n", "rare", F.explode(F.slice("shingles", 1, F.col("rare"))).alias("code"))
+    part = F.coalesce("component", "node")
+    # The one shuffle of all shingles: its rows hold no more than it takes to see which are shared.
+    rare = sets.select("node", "component", F.explode(F.slice("shingles", 1, F.col("rare"))).alias("code"))
     code = Window.partitionBy("code")
     # The bounds of the parts tell if there are two; a count of distinct ones isn't needed.
-    shared = rare.withColumns({"texts": F.count("*").over(code), "low": F.min("part").over(code), "high": F.max("part").over(code)}).where("low <> high")
+    shared = rare.withColumns({"texts": F.count("*").over(code), "low": F.min(part).over(code), "high": F.max(part).over(code)}).where("low <> high")
     # A text whose shingles are its own for more than the first ones meets nobody.
-    lists = shared.groupBy("node", "part", "n", "rare").agg(F.sort_array(F.collect_list(F.struct("texts", "code"))).alias("found"))
+    lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "code"))).alias("found"))
+    lists = lists.join(sets.select("node", part.alias("part"), "n", "rare"), "node")
     own = F.col("rare") - F.size("found")
     lists = lists.withColumn("own", own).where(F.col("own") < first)
     counted = lists.select("node", "part", "n", "own", F.posexplode(F.slice("found.code", 1, first - F.col("own"))).alias("at", "code"))
     counted = counted.select("node", "part", "n", (F.col("own") + F.col("at")).alias("pos"), "code")
-    hot = sets.where(F.col("rare") < first).select("node", "part", "n", "rare", F.posexplode(F.slice("shingles", F.col("rare") + 1, first - F.col("rare"))).alias("at", "code"))
+    hot = sets.where(F.col("rare") < first).select("node", part.alias("part"), "n", "rare", F.posexplode(F.slice("shingles", F.col("rare") + 1, first - F.col("rare"))).alias("at", "code"))
     return counted.unionByName(hot.select("node", "part", "n", (F.col("rare") + F.col("at")).alias("pos"), "code"))
 
 
-def prefix_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different ``parts`` (node, component) that may be near: all that are, and others."""
-    put = sets.where("n > 0").join(small(parts), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    put = stored(prefixes(put), "near-first")
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be near: all that are, and others."""
+    put = stored(prefixes(sets.where("n > 0")), "near-first")
     x, y = put.alias("x"), put.alias("y")
     need = F.ceil(LEAST / (1 + LEAST) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
@@ -204,14 +209,20 @@ def _met(nodes: DataFrame) -> DataFrame:
     return stored(pairs.select("a", "b"), "near-pairs")
 
 
-def _distinct_texts(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every row's (id, digest); a node for each text; its shingles, from its row of least id."""
+def _with_components(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """``sets`` with their component so far, null where they have none."""
+    return stored(sets.join(small(stored(parts, "near-parts")), "node", "left"), "near-parted")
+
+
+def _distinct_texts(marked: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's (id, digest); a node for each text; its shingles, from its row of least id, written to ``path``."""
     rows = stored(marked.select("id", "digest").distinct(), "near-rows")
     nodes = marked.withColumn("n", F.size("shingles")).groupBy("digest").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("fps", "whole", "n")))
     nodes = stored(nodes.withColumn("node", F.xxhash64("digest")), "near-nodes")
     own = small(nodes.select("node", F.col("least").alias("id"), "digest"))
     sets = marked.join(own, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("node", "rare", F.size("shingles").alias("n"), "shingles")
-    return rows, nodes, stored(sets, "near-sets")
+    sets.write.parquet(path)
+    return rows, nodes, marked.sparkSession.read.schema(sets.schema).parquet(path)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,14 +234,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.unhex(F.md5(plain.cast("binary"))).alias("digest"), plain.alias("text"))
     views = scratch(spark, "near-views")
-    rows, nodes, sets = _distinct_texts(_viewed(named, views))
+    plain_sets = scratch(spark, "near-sets")
+    rows, nodes, sets = _distinct_texts(_viewed(named, views), plain_sets)
     discard(spark, views)
     sweep(spark)
     pairs = _met(nodes)
     sweep(spark)
     true = stored(_verified(pairs, sets), "near-true")
     sweep(spark)
-    rest = stored(prefix_pairs(sets, stored(connected_components(true), "near-parts")), "near-rest")
+    sets = _with_components(sets, connected_components(true))
+    discard(spark, plain_sets)
+    sweep(spark)
+    rest = stored(prefix_pairs(sets), "near-rest")
     sweep(spark)
     parts = connected_components(true.unionByName(_verified(rest, sets)))
     of_text = nodes.join(parts, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("part"))
