@@ -6,7 +6,8 @@ reach. Fingerprints of single words differ far less: each text gets ``len(VIEWS)
 with hashes of their own, words weighted by the square root of their count, and meets others
 within three bits in any view by ball hashing. Pairs that met are verified: first by
 the distance of their shingle fingerprints, then by the similarity of their shingles
-(distinct ones, hashed to 32 bits). That connects most of large groups cheaply, but not all
+(distinct ones, hashed to 32 bits). The first view comes first; the others meet only texts that it
+didn't connect. That connects most of large groups cheaply, but not all
 near pairs meet so, nor are all that meet kept.
 
 The rest is exact. Each text's n shingles are put in one order. Of two
@@ -16,6 +17,8 @@ that meet on one, are not connected yet and have enough left are verified; no pa
 The order only decides how many meet: shingles come by the number of texts that hold them, counted over all
 texts, and those that only texts of one component hold come first and meet nobody. Hot ones, in ``HOT`` or more of some ``SAMPLE`` texts, come last;
 they are looked up where texts are read, so that none of them is counted in one task.
+A group of very many near copies would meet in all pairs: in ``TURNS`` turns the texts of each first shingle are dealt into
+heaps and meet one text of theirs first, so that most of the group is one component. What is left meets all.
 Components of verified pairs are the groups; of each the document of least id stays.
 
 Equal texts are one node. Null texts count as empty; texts without words are near only
@@ -28,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.chunks import ChunkMemo
@@ -40,12 +43,16 @@ WIDTH = 5
 LEAST = 0.8
 #: The power of a word's count that weighs it in each view.
 VIEWS = (0.5,) * 5
+#: Views that are met at a time.
+ROUNDS = ((0,), (1, 2, 3, 4))
 #: Bits in which the shingle fingerprints of a pair of ``LEAST`` similarity or more may differ: 10 and 5 deviations of 3.
 FAR = 25
 #: Texts that are looked at for hot shingles, in how many a hot one is, and how many are sent to the tasks.
 SAMPLE, HOT, COMMON = 10_000, 50, 300_000
 #: Rows of some 100 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
+#: Heaps and turns of stars.
+STARS, TURNS = 16, 2
 
 #: Stands for a document's missing id.
 NO_ID = (1 << 63) - 1
@@ -162,9 +169,8 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return counted.unionByName(hot.select("node", "part", "n", (F.col("rare") + F.col("at")).alias("pos"), "code"))
 
 
-def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that may be near: all that are, and others."""
-    put = stored(prefixes(sets.where("n > 0")), "near-first")
+def prefix_pairs(put: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts that may be near: all that are, and others."""
     x, y = put.alias("x"), put.alias("y")
     need = F.ceil(LEAST / (1 + LEAST) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
@@ -172,6 +178,40 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     return x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def star_pairs(put: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts: the nodes of a shingle are dealt into ``STARS`` heaps, and all of a heap meet one of it."""
+    deal = lambda salt: F.xxhash64("node", "code", F.lit(turn), F.lit(salt))
+    dealt = put.withColumns({"heap": F.pmod(deal(0), F.lit(STARS)), "x": F.struct("node", "part", "n")})
+    centres = dealt.groupBy("code", "heap").agg(F.min(F.struct(deal(1).alias("order"), "node", "part", "n")).alias("y"))
+    size = F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n") - 1e-9
+    met = dealt.select("code", "heap", "x").join(centres, ["code", "heap"]).where((F.col("x.part") != F.col("y.part")) & size)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _parted(df: DataFrame, parts: DataFrame) -> DataFrame:
+    """``df`` with the part of each node: its component so far, or the node itself."""
+    return df.drop("part").join(small(parts), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
+def _extended(parts: DataFrame, true: DataFrame) -> DataFrame:
+    """The components ``parts`` with more links."""
+    return stored(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(true)), "near-parts")
+
+
+def _searched(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """``parts`` joined by all near pairs: first by those of some turns of stars, so that a large group is one part before all that may be near meet."""
+    spark = sets.sparkSession
+    put = stored(prefixes(sets.where("n > 0")), "near-first")
+    for turn in range(TURNS):
+        some = stored(star_pairs(_parted(put, parts), turn), "near-stars")
+        sweep(spark)
+        parts = _extended(parts, _verified(some, sets))
+        sweep(spark)
+    rest = stored(prefix_pairs(_parted(put, parts)), "near-rest")
+    sweep(spark)
+    return _extended(parts, _verified(rest, sets))
+
+
 def _viewed(named: DataFrame, path: str) -> DataFrame:
     """(id, digest, fps, whole, rare, shingles) of every row, written to ``path``."""
 
@@ -195,23 +235,38 @@ def _viewed(named: DataFrame, path: str) -> DataFrame:
     return named.sparkSession.read.schema(marked.schema).parquet(path)
 
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes whose word fingerprints are near in some view and whose shingle fingerprints may be."""
-    seen = nodes.where("n > 0").select("node", F.posexplode("fps").alias("view", "fp")).withColumn("view", F.col("view").cast("byte"))
-    centres = stored(seen.groupBy("view", "fp").agg(F.min("node").alias("centre")), "near-centres")
-    same = seen.join(centres, ["view", "fp"]).select(F.col("node").alias("x"), F.col("centre").alias("y"))
+def _met(nodes: DataFrame, views: tuple[int, ...]) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts whose word fingerprints are near in one of ``views`` and whose shingle fingerprints may be.
+
+    Nodes are (node, part, n, whole, fps). Those of one part that share a fingerprint are met through the least of them.
+    """
+    seen = nodes.where("n > 0").select("node", "part", "whole", F.posexplode("fps").alias("view", "fp")).where(F.col("view").isin(*views))
+    own = seen.groupBy(F.col("view").cast("byte").alias("view"), "fp", "part").agg(F.min(F.struct("node", "whole")).alias("x"))
+    own = stored(own, "near-own")
+    centres = stored(own.groupBy("view", "fp").agg(F.min(F.struct("x", "part")).alias("centre")).select("view", "fp", "centre.x", "centre.part"), "near-centres")
+    at = lambda fp, x: centres.select("view", F.col("fp").alias(fp), F.col("x").alias(x), F.col("part").alias(f"part_{x}"))
+    same = own.join(at("fp", "y"), ["view", "fp"]).where("part <> part_y").select("x", "y")
     links = near_links(centres.select("view", "fp"))
-    at = lambda name, to: centres.select("view", F.col("fp").alias(name), F.col("centre").alias(to))
-    across = links.join(at("a", "x"), ["view", "a"]).join(at("b", "y"), ["view", "b"]).select("x", "y")
-    pairs = same.unionByName(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    about = lambda c: nodes.select(F.col("node").alias(c), F.col("whole").alias(f"w{c}"))
-    pairs = pairs.join(about("a"), "a").join(about("b"), "b").where(F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= FAR)
-    return stored(pairs.select("a", "b"), "near-pairs")
+    across = links.join(at("a", "x"), ["view", "a"]).join(at("b", "y"), ["view", "b"]).where("part_x <> part_y").select("x", "y")
+    may = F.bit_count(F.col("x.whole").bitwiseXOR(F.col("y.whole"))) <= FAR
+    pairs = same.unionByName(across).where(may)
+    return stored(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "near-pairs")
+
+
+def _connected(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that verified pairs of near views connect, by rounds of views: what one connects isn't met again."""
+    parts = nodes.select("node", F.col("node").alias("component")).limit(0)
+    for views in ROUNDS:
+        pairs = _met(_parted(nodes, parts), views)
+        sweep(nodes.sparkSession)
+        parts = _extended(parts, _verified(pairs, sets))
+        sweep(nodes.sparkSession)
+    return parts
 
 
 def _with_components(sets: DataFrame, parts: DataFrame) -> DataFrame:
     """``sets`` with their component so far, null where they have none."""
-    return stored(sets.join(small(stored(parts, "near-parts")), "node", "left"), "near-parted")
+    return stored(sets.join(small(parts), "node", "left"), "near-parted")
 
 
 def _distinct_texts(marked: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -238,16 +293,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows, nodes, sets = _distinct_texts(_viewed(named, views), plain_sets)
     discard(spark, views)
     sweep(spark)
-    pairs = _met(nodes)
-    sweep(spark)
-    true = stored(_verified(pairs, sets), "near-true")
-    sweep(spark)
-    sets = _with_components(sets, connected_components(true))
+    parts = _connected(nodes, sets)
+    sets = _with_components(sets, parts)
     discard(spark, plain_sets)
     sweep(spark)
-    rest = stored(prefix_pairs(sets), "near-rest")
-    sweep(spark)
-    parts = connected_components(true.unionByName(_verified(rest, sets)))
+    parts = _searched(parts, sets)
     of_text = nodes.join(parts, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("part"))
     first = of_text.groupBy("part").agg(F.min(F.struct("least", "digest")).alias("first"))
     of_text = of_text.join(first, "part").select("digest", "first")
