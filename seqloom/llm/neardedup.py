@@ -6,8 +6,7 @@ reach. Fingerprints of single words differ far less: each text gets ``len(VIEWS)
 with hashes of their own, words weighted by the square root of their count, and meets others
 within three bits in any view by ball hashing. Pairs that met are verified: first by
 the distance of their shingle fingerprints, then by the similarity of their shingles
-(distinct ones, hashed to 32 bits). The first view comes first; the others meet only texts that it
-didn't connect. That connects most of large groups cheaply, but not all
+(distinct ones, hashed to 32 bits). That connects most of large groups cheaply, but not all
 near pairs meet so, nor are all that meet kept.
 
 The rest is exact. Each text's n shingles are put in one order. Of two
@@ -43,8 +42,6 @@ WIDTH = 5
 LEAST = 0.8
 #: The power of a word's count that weighs it in each view.
 VIEWS = (0.5,) * 5
-#: Views that are met at a time.
-ROUNDS = ((0,), (1, 2, 3, 4))
 #: Bits in which the shingle fingerprints of a pair of ``LEAST`` similarity or more may differ: 10 and 5 deviations of 3.
 FAR = 25
 #: Texts that are looked at for hot shingles, in how many a hot one is, and how many are sent to the tasks.
@@ -235,33 +232,18 @@ def _viewed(named: DataFrame, path: str) -> DataFrame:
     return named.sparkSession.read.schema(marked.schema).parquet(path)
 
 
-def _met(nodes: DataFrame, views: tuple[int, ...]) -> DataFrame:
-    """Pairs (a, b) of nodes of different parts whose word fingerprints are near in one of ``views`` and whose shingle fingerprints may be.
-
-    Nodes are (node, part, n, whole, fps). Those of one part that share a fingerprint are met through the least of them.
-    """
-    seen = nodes.where("n > 0").select("node", "part", "whole", F.posexplode("fps").alias("view", "fp")).where(F.col("view").isin(*views))
-    own = seen.groupBy(F.col("view").cast("byte").alias("view"), "fp", "part").agg(F.min(F.struct("node", "whole")).alias("x"))
-    own = stored(own, "near-own")
-    centres = stored(own.groupBy("view", "fp").agg(F.min(F.struct("x", "part")).alias("centre")).select("view", "fp", "centre.x", "centre.part"), "near-centres")
-    at = lambda fp, x: centres.select("view", F.col("fp").alias(fp), F.col("x").alias(x), F.col("part").alias(f"part_{x}"))
-    same = own.join(at("fp", "y"), ["view", "fp"]).where("part <> part_y").select("x", "y")
+def _met(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose word fingerprints are near in some view and whose shingle fingerprints may be."""
+    seen = nodes.where("n > 0").select("node", F.posexplode("fps").alias("view", "fp")).withColumn("view", F.col("view").cast("byte"))
+    centres = stored(seen.groupBy("view", "fp").agg(F.min("node").alias("centre")), "near-centres")
+    same = seen.join(centres, ["view", "fp"]).select(F.col("node").alias("x"), F.col("centre").alias("y"))
     links = near_links(centres.select("view", "fp"))
-    across = links.join(at("a", "x"), ["view", "a"]).join(at("b", "y"), ["view", "b"]).where("part_x <> part_y").select("x", "y")
-    may = F.bit_count(F.col("x.whole").bitwiseXOR(F.col("y.whole"))) <= FAR
-    pairs = same.unionByName(across).where(may)
-    return stored(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "near-pairs")
-
-
-def _connected(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that verified pairs of near views connect, by rounds of views: what one connects isn't met again."""
-    parts = nodes.select("node", F.col("node").alias("component")).limit(0)
-    for views in ROUNDS:
-        pairs = _met(_parted(nodes, parts), views)
-        sweep(nodes.sparkSession)
-        parts = _extended(parts, _verified(pairs, sets))
-        sweep(nodes.sparkSession)
-    return parts
+    at = lambda name, to: centres.select("view", F.col("fp").alias(name), F.col("centre").alias(to))
+    across = links.join(at("a", "x"), ["view", "a"]).join(at("b", "y"), ["view", "b"]).select("x", "y")
+    pairs = same.unionByName(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    about = lambda c: nodes.select(F.col("node").alias(c), F.col("whole").alias(f"w{c}"))
+    pairs = pairs.join(about("a"), "a").join(about("b"), "b").where(F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= FAR)
+    return stored(pairs.select("a", "b"), "near-pairs")
 
 
 def _with_components(sets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -293,7 +275,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows, nodes, sets = _distinct_texts(_viewed(named, views), plain_sets)
     discard(spark, views)
     sweep(spark)
-    parts = _connected(nodes, sets)
+    pairs = _met(nodes)
+    sweep(spark)
+    parts = stored(connected_components(_verified(pairs, sets)), "near-parts")
+    sweep(spark)
     sets = _with_components(sets, parts)
     discard(spark, plain_sets)
     sweep(spark)
