@@ -48,10 +48,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` once to shared storage and read it back: cuts lineage, survives lost executors.
+
+    ``file_rows`` bounds the rows of a file, for large rows: a task that reads Parquet holds up to 4,096 rows of a file at once.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

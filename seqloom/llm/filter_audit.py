@@ -42,6 +42,8 @@ MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 50, 65, 5
 SIGNS, CAPITALS = b"#$%&*|", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows and bytes of text of a shard of the matrix; a longer text is a shard of its own.
 SHARD_ROWS, SHARD_BYTES = 16_384, 8 << 20
+#: Shards of a file.
+FILE_SHARDS = 4
 #: Buckets of the dictionary, by crc32 of the word.
 BUCKETS = 4096
 
@@ -140,7 +142,7 @@ def _csr_table(shard: pa.Table, codes: pa.Table) -> pa.Table:
 def _coded(docs: DataFrame, key: str, text: str, part: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shards over their own vocabularies, the global dictionary, and (of, first, ranks, upto): the numbers of a shard's words of a bucket."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    shards = stored(rows.mapInArrow(_shards, _SHARD), "csr")
+    shards = stored(rows.mapInArrow(_shards, _SHARD), "csr", FILE_SHARDS)
     words = shards.select(F.col("shard").alias("of"), F.inline("vocabulary")).repartition("bucket").sortWithinPartitions("bucket", "of")
     ranked = stored(words.mapInArrow(_ranks, "of bigint, bucket int, first int, ranks array<int>, at int, fresh array<binary>"), "dictionary")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
