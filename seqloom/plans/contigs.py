@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.seq import normalize, unpack
+from seqloom.functions.seq import bases, unpack
 from seqloom.operators import bubbles as B
 from seqloom.operators import contigs as C
 from seqloom.operators import edges as E
@@ -20,8 +20,7 @@ SIZE = 13
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    out = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), F.col("role").alias("lib_id"), normalize(F.col("text")).alias("seq"))
-    return out.where(F.length("seq") >= SIZE + 1)
+    return bases(t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), F.col("role").alias("lib_id"), F.col("text").alias("seq")), "seq", least=SIZE + 1)
 
 
 def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
