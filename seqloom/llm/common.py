@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -71,6 +72,14 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give the memory that Python has freed back to the system: the driver keeps it after a training else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not in every C library
+        release(0)
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     while name in df.columns:

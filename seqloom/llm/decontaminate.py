@@ -32,7 +32,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import WORD_BREAK, free, stored
+from seqloom.llm.common import WORD_BREAK, free, stored, sweep
 
 WIDTH = 5
 LEAST = 0.8
@@ -50,6 +50,13 @@ def _words(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("plain", plain).where("plain <> ''").withColumn("words", F.split("plain", WORD_BREAK)).drop("plain")
 
 
+def _step(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written out; what its plan and broadcasts took of the driver's memory is free for the next step."""
+    out = stored(df, name)
+    sweep(df.sparkSession)
+    return out
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -91,11 +98,11 @@ def _blocks(fp: Column, variants: bool) -> Column:
         for n in range(1, RADIUS // BLOCKS + 1):
             masks += [sum(1 << b for b in c) for c in combinations(range(BITS), n)]
 
-    def entries(b: int) -> Column:
-        value = F.shiftrightunsigned(fp, b * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-        return F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(F.lit(b).alias("block"), value.bitwiseXOR(m).alias("value")))
+    def entries(b: Column) -> Column:
+        value = F.call_function("shiftrightunsigned", fp, b * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+        return F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(b.alias("block"), value.bitwiseXOR(m).alias("value")))
 
-    return F.explode(F.flatten(F.array(*map(entries, range(BLOCKS)))))
+    return F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), entries)))
 
 
 def _digest(text: str) -> Column:
@@ -130,22 +137,22 @@ def _dense(items: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def _leaking(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, least: float) -> DataFrame:
     """(id, rid, item, b): each text's leaked items, with the best window's similarity (less than 0) and start."""
     items = _words(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("t")), "t")
-    items = stored(items.select("item", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(WIDTH)).alias("width")), "items")
+    items = _step(items.select("item", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(WIDTH)).alias("width")), "items")
     named = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), _digest(text).alias("rid"))
     if items.isEmpty():
         return named.limit(0).select("id", "rid", F.lit(None).cast(benchmark.schema[item].dataType).alias("item"), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("start")).alias("b"))
     count = items.agg(F.sum("n")).first()[0]
-    laid = stored(_dense(items, _words(named, "t").select("id", "rid", "words"), least), "dense")
+    laid = _step(_dense(items, _words(named, "t").select("id", "rid", "words"), least), "dense")
     # The words of windows, from the texts again: of those that have any.
     wanted = laid.select("rid", "n", "width", "start").distinct()
     own = _words(named.select("rid", "t").join(_small(wanted, wanted.count()), "rid"), "t")
     own = own.select("rid", "n", "width", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ").alias("window")).distinct()
-    own = stored(own, "windows")
+    own = _step(own, "windows")
     # Equal windows are fingerprinted once.
     windows = own.select("n", "width", "window").distinct().withColumn("shingles", _shingles(F.split("window", " "), F.col("width")))
-    windows = stored(windows.withColumn("fp", _fingerprint(F.col("shingles"))), "window-fps")
+    windows = _step(windows.withColumn("fp", _fingerprint(F.col("shingles"))), "window-fps")
     targets = items.withColumn("shingles", _shingles(F.col("words"), F.col("width")))
-    targets = stored(targets.select("item", "n", "shingles", _fingerprint(F.col("shingles")).alias("fp")), "item-fps")
+    targets = _step(targets.select("item", "n", "shingles", _fingerprint(F.col("shingles")).alias("fp")), "item-fps")
     items_at = targets.select("item", "n", F.col("fp").alias("item_fp"), _blocks(F.col("fp"), True).alias("at"))
     rows = targets.count() * BLOCKS * sum(math.comb(BITS, k) for k in range(RADIUS // BLOCKS + 1))
     windows_at = windows.select("n", "window", "fp", _blocks(F.col("fp"), False).alias("at"))
@@ -155,7 +162,8 @@ def _leaking(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: s
         _small(targets.select("item", F.col("shingles").alias("wanted")), count), "item"
     )
     true = pairs.withColumn("similarity", _similarity(F.col("shingles"), F.col("wanted"))).where(F.col("similarity") >= least)
-    placed = own.join(true.select("n", "window", "item", "similarity"), ["n", "window"]).select("rid", "n", "start", "item", "similarity")
+    true = _step(true.select("n", "window", "item", "similarity"), "leak-pairs")
+    placed = own.join(true, ["n", "window"]).select("rid", "n", "start", "item", "similarity")
     best = laid.select("id", "rid", "n", "start").distinct().join(placed, ["rid", "n", "start"]).groupBy("id", "rid", "item")
     return best.agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"))).alias("b"))
 
@@ -169,5 +177,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows whose text leaks no item."""
     rid = free(docs, "rid")
-    lost = stored(_leaking(docs, benchmark, key, text, item, item_text, LEAST).select(F.col("rid").alias(rid)).distinct(), "leaking")
+    lost = _step(_leaking(docs, benchmark, key, text, item, item_text, LEAST).select(F.col("rid").alias(rid)).distinct(), "leaking")
     return docs.withColumn(rid, _digest(text)).join(_small(lost, lost.count()), rid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import labels, quality, toxicity
 from seqloom.llm.bpe import byte_bpe
-from seqloom.llm.common import table
+from seqloom.llm.common import table, trim
 from seqloom.llm.decontaminate import leaks
 from seqloom.llm.filter_audit import filter_audit
 from seqloom.llm.fst import token_counts
@@ -75,13 +75,17 @@ def _judged(scored: DataFrame, fold: int, held: int) -> DataFrame:
 def quality_model(spark: SparkSession, sf_dir: str) -> tuple:
     """Trained on rows whose crc32(doc_id) mod 3 is not 1."""
     docs, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.train(labels.sample(docs, known, "quality", labels.remainder("doc_id", 3) != 1))
+    model = quality.train(labels.sample(docs, known, "quality", labels.remainder("doc_id", 3) != 1))
+    trim()
+    return model
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> tuple:
     """Trained on rows whose crc32(doc_id) mod 5 is not 0."""
     docs, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity.train(labels.sample(docs, known, "toxic", labels.remainder("doc_id", 5) != 0))
+    model = toxicity.train(labels.sample(docs, known, "toxic", labels.remainder("doc_id", 5) != 0))
+    trim()
+    return model
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
