@@ -58,7 +58,8 @@ def _step(df: DataFrame, name: str) -> DataFrame:
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """``df``, to be broadcast if its rows are few, else joined by a shuffle, however small its compressed files are."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _shingles(words: Column, width: Column) -> Column:

@@ -140,7 +140,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     shared = F.size(F.array_intersect("sa", "sb"))
     near = shared >= LEAST * (F.size("sa") + F.size("sb") - shared) - 1e-9
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+    return small(pairs).join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -236,12 +236,14 @@ def _met(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes whose word fingerprints are near in some view and whose shingle fingerprints may be."""
     seen = nodes.where("n > 0").select("node", F.posexplode("fps").alias("view", "fp")).withColumn("view", F.col("view").cast("byte"))
     centres = stored(seen.groupBy("view", "fp").agg(F.min("node").alias("centre")), "near-centres")
-    same = seen.join(centres, ["view", "fp"]).select(F.col("node").alias("x"), F.col("centre").alias("y"))
+    dealt = small(centres)
+    same = seen.join(dealt, ["view", "fp"]).select(F.col("node").alias("x"), F.col("centre").alias("y"))
     links = near_links(centres.select("view", "fp"))
-    at = lambda name, to: centres.select("view", F.col("fp").alias(name), F.col("centre").alias(to))
+    at = lambda name, to: dealt.select("view", F.col("fp").alias(name), F.col("centre").alias(to))
     across = links.join(at("a", "x"), ["view", "a"]).join(at("b", "y"), ["view", "b"]).select("x", "y")
     pairs = same.unionByName(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    about = lambda c: nodes.select(F.col("node").alias(c), F.col("whole").alias(f"w{c}"))
+    whole = small(nodes.select("node", "whole"))
+    about = lambda c: whole.select(F.col("node").alias(c), F.col("whole").alias(f"w{c}"))
     pairs = pairs.join(about("a"), "a").join(about("b"), "b").where(F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= FAR)
     return stored(pairs.select("a", "b"), "near-pairs")
 
@@ -283,18 +285,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     discard(spark, plain_sets)
     sweep(spark)
     parts = _searched(parts, sets)
-    of_text = nodes.join(parts, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("part"))
+    of_text = nodes.join(small(parts), "node", "left").select("digest", "least", F.coalesce("component", "node").alias("part"))
     first = of_text.groupBy("part").agg(F.min(F.struct("least", "digest")).alias("first"))
     of_text = of_text.join(first, "part").select("digest", "first")
-    found = rows.join(of_text, "digest")
+    found = small(rows).join(of_text, "digest")
     return found.select(
         F.nullif("id", F.lit(NO_ID)).alias("id"), "digest", F.nullif("first.least", F.lit(NO_ID)).alias("component"), (F.struct(F.col("id").alias("least"), "digest") == F.col("first")).alias("kept")
     )
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, to be broadcast if its rows are few, else joined by a shuffle: Spark would broadcast any table whose compressed files are small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -57,3 +57,35 @@ def test_block_entries_are_all_near_values(spark):
         masks = [sum(1 << b for b in c) for n in range(D.RADIUS // D.BLOCKS + 1 if variants else 1) for c in combinations(range(D.BITS), n)]
         want = sorted((f, b, ((f >> b * D.BITS) & (1 << D.BITS) - 1) ^ m) for f in fps for b in range(D.BLOCKS) for m in masks)
         assert sorted((r.fp, r.at.block, r.at.value) for r in found.collect()) == want
+
+
+def test_tables_over_the_bound_are_not_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from seqloom.llm import decontaminate as D
+    from seqloom.llm import neardedup as N
+    from seqloom.llm.common import stored
+
+    # Few distinct digests: small files of many rows, which Spark broadcasts by itself.
+    many = stored(spark.range(2000).select("id", F.unhex(F.md5((F.col("id") % 3).cast("string").cast("binary"))).alias("digest")), "many")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.range(3000).repartition(2)
+    for few, bound in ((True, 2000), (False, 1999)):
+        monkeypatch.setattr(N, "BROADCAST_ROWS", bound)
+        monkeypatch.setattr(D, "BROADCAST_ROWS", bound)
+        for table in (N.small(many), D._small(many, many.count())):
+            for how in ("inner", "left", "left_anti"):
+                joined = docs.join(table, "id", how)
+                assert ("BroadcastHashJoin" in plan(joined)) == few
+                assert joined.count() == {"inner": 2000, "left": 3000, "left_anti": 1000}[how]
+
+
+def test_groups_keep_to_the_bound_of_broadcasts(spark, monkeypatch):
+    from seqloom.llm import neardedup as N
+
+    texts = [" ".join(f"w{t}x{i}" for i in range(30)) for t in range(4)]
+    docs = spark.createDataFrame([(i, texts[i % 4] + " end" * (i % 8 == 0)) for i in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
+    found = N.groups(docs)
+    assert {(r.id, r.component) for r in found.collect()} == {(i, i % 4) for i in range(200)}
+    last = found._jdf.queryExecution().executedPlan().toString()
+    assert "digest" not in "".join(x for x in last.split("\n") if "BroadcastHashJoin" in x)
