@@ -234,18 +234,17 @@ def _viewed(named: DataFrame, path: str) -> DataFrame:
 
 def _met(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes whose word fingerprints are near in some view and whose shingle fingerprints may be."""
-    seen = nodes.where("n > 0").select("node", F.posexplode("fps").alias("view", "fp")).withColumn("view", F.col("view").cast("byte"))
-    centres = stored(seen.groupBy("view", "fp").agg(F.min("node").alias("centre")), "near-centres")
+    seen = nodes.where("n > 0").select("node", "whole", F.posexplode("fps").alias("view", "fp")).withColumn("view", F.col("view").cast("byte"))
+    # Shingle fingerprints travel with their nodes, so that pairs need no joins to find them.
+    centres = stored(seen.groupBy("view", "fp").agg(F.min("node").alias("centre"), F.min_by("whole", "node").alias("own")), "near-centres")
     dealt = small(centres)
-    same = seen.join(dealt, ["view", "fp"]).select(F.col("node").alias("x"), F.col("centre").alias("y"))
+    same = seen.join(dealt, ["view", "fp"]).select(F.col("node").alias("x"), F.col("whole").alias("wx"), F.col("centre").alias("y"), F.col("own").alias("wy"))
     links = near_links(centres.select("view", "fp"))
-    at = lambda name, to: dealt.select("view", F.col("fp").alias(name), F.col("centre").alias(to))
-    across = links.join(at("a", "x"), ["view", "a"]).join(at("b", "y"), ["view", "b"]).select("x", "y")
-    pairs = same.unionByName(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    whole = small(nodes.select("node", "whole"))
-    about = lambda c: whole.select(F.col("node").alias(c), F.col("whole").alias(f"w{c}"))
-    pairs = pairs.join(about("a"), "a").join(about("b"), "b").where(F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= FAR)
-    return stored(pairs.select("a", "b"), "near-pairs")
+    at = lambda name, to: dealt.select("view", F.col("fp").alias(name), F.col("centre").alias(to), F.col("own").alias(f"w{to}"))
+    across = links.join(at("a", "x"), ["view", "a"]).join(at("b", "y"), ["view", "b"]).select("x", "wx", "y", "wy")
+    may = (F.col("x") != F.col("y")) & (F.bit_count(F.col("wx").bitwiseXOR(F.col("wy"))) <= FAR)
+    pairs = same.unionByName(across).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return stored(pairs, "near-pairs")
 
 
 def _with_components(sets: DataFrame, parts: DataFrame) -> DataFrame:
