@@ -73,7 +73,7 @@ def sweep(spark: SparkSession) -> None:
 
 
 def trim() -> None:
-    """Give the memory that Python has freed back to the system: the driver keeps it after a training else."""
+    """Give the memory that Python has freed back to the system: the driver keeps it after a training else, a worker after its tasks."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if release := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not in every C library
@@ -143,7 +143,7 @@ def map_text(df: DataFrame, key: list[str], text: str, schema: str, make: Callab
                 [c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, arrow)],
                 schema=arrow,
             )
-        pa.default_memory_pool().release_unused()
+        trim()
 
     return out.mapInArrow(run, StructType(fields))
 
@@ -162,6 +162,6 @@ def filter_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.String
         keep = make()
         for b in sized(batches, at):
             yield b.filter(pa.array(keep(pc.fill_null(b.column(at), "")), pa.bool_()))
-        pa.default_memory_pool().release_unused()
+        trim()
 
     return df.mapInArrow(run, df.schema)

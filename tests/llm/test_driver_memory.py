@@ -92,6 +92,20 @@ def test_groups_keep_to_the_bound_of_broadcasts(spark, monkeypatch):
     assert "digest" not in "".join(x for x in last.split("\n") if "BroadcastHashJoin" in x)
 
 
+def test_tasks_on_texts_give_memory_back(spark, monkeypatch):
+    import pyarrow as pa
+    from seqloom.llm import common as C
+
+    runs, trimmed = [], []
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    monkeypatch.setattr(C, "trim", lambda: trimmed.append(1))
+    C.map_text(docs, ["doc_id"], "text", "n long", lambda: lambda texts: [pa.array([len(t) for t in texts], pa.int64())])
+    C.filter_text(docs, "text", lambda: lambda texts: [t.as_py() != "" for t in texts])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a", ""]})
+    assert [sum(b.num_rows for b in run(iter([batch]))) for run in runs] == [2, 1] and len(trimmed) == 2
+
+
 def _tasks(spark, run) -> int:
     """Tasks that ``run()`` makes with 50 partitions a shuffle: the driver keeps a record of each."""
     sc = spark.sparkContext
